@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", step: int
         if not batch.num_rows:
             continue
         col = batch.column(text_col)
-        sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), float)))
+        sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), float)))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", step: int
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; nulls count as empty."""
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     col = col.cast(pa.large_string())
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     raw = col.buffers()[2]
