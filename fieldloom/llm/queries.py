@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, simhash
+from . import bpe, exact_dedup, langid, mixing, simhash, winnow
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_docs(spark, sf_dir))
 
 
+def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(_docs(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_docs(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
