@@ -74,6 +74,27 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def id_cuts(ids: DataFrame, rows: int, most: int) -> list[int]:
+    """Values that cut the one column of ids into ranges of about `rows` rows, at most `most` ranges."""
+    n = ids.count()
+    k = min(most, max(1, -(-n // rows)))
+    if k == 1:
+        return []
+    return sorted(set(ids.agg(F.percentile_approx(ids.columns[0], [j / k for j in range(1, k)], 10 * k)).first()[0] or []))
+
+
+def bucket(col: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are under the value: 0..len(cuts), by halving."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return half(0, len(cuts))
+
+
 def with_group(rows: DataFrame, groups: DataFrame, key: str, size_col: str, tie: str, hot_share: int = 1000) -> DataFrame:
     """rows left-joined with groups (one row per key), safe against a key that holds a large share of the rows.
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_text, slices
+from .common import bucket, id_cuts, key_text, slices
 from .texthash import prefix, spans
 
 #: Bytes a gram, grams a window.
@@ -108,11 +108,9 @@ def compare_edited(docs: DataFrame, k: int = GRAM, w: int = WINDOW, id_col: str
     spark = docs.sparkSession
     rows = key_text(docs, id_col, text_col)
     ids = docs.select(docs[id_col].cast("long").alias("i"))
-    n = ids.count()
-    ranges = min(RANGES, max(1, -(-n // RANGE_ROWS)))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [j / ranges for j in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
+    cuts = id_cuts(ids, RANGE_ROWS, RANGES)
     # ranges by falling id: part 0 holds the largest; -1 stands for null
-    part = F.when(F.col("i").isNull(), len(cuts)).otherwise(len(cuts) - _bucket(F.col("i"), cuts)) if cuts else F.lit(0)
+    part = F.when(F.col("i").isNull(), len(cuts)).otherwise(len(cuts) - bucket(F.col("i"), cuts)) if cuts else F.lit(0)
     # the ids at the head of each range: one a range; all rows with that id are sent, and the walk takes the first of them
     heads = sorted((r.part, r.head) for r in ids.withColumn("part", part).groupBy("part").agg(F.max("i").alias("head")).collect())
     before = {p: heads[j - 1][0] for j, (p, _) in enumerate(heads)}
@@ -125,15 +123,3 @@ def compare_edited(docs: DataFrame, k: int = GRAM, w: int = WINDOW, id_col: str
     sent = sent.select("doc_id", "text", "order", "at.part", "at.ghost").repartitionById(len(cuts) + 1, F.col("part").cast("int"))
     sent = sent.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "order", "text").select("part", "doc_id", "text", "ghost")
     return sent.mapInArrow(_walk(k, w), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _bucket(col, cuts: list[int]):
-    """How many of the sorted cuts are under the value: 0..len(cuts), by halving."""
-
-    def half(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
-
-    return half(0, len(cuts))
