@@ -1,4 +1,53 @@
-from fieldloom.llm import queries as _q
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    return _q.op6_exact_dedup(spark, sf_dir)
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, token ids.
+
+Each stage takes the rows that the one before it kept, written as Parquet and read again. All but the last return the
+columns of documents. Deterministic for given tables; null texts and texts without letters leave at the first stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.llm import bpe, exact_dedup, langid, mixing, simhash
+from fieldloom.llm.common import settle
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the sha256 of the bytes that the ids decode to."""
+    out = bpe.encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing_stage),
+    ("byte_bpe", byte_bpe),
+]
+ORACLE_SQL = None  # the stages' methods can't be stated in SQL; tests hold each against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ DIM, GRAMS, CENTROIDS = 4096, (1, 2, 3), 3
 #: Labelled rows a language that the centroids are fitted on (chosen by hash); idf is counted over all training rows.
 SAMPLE = 400
 #: A text is rejected if its cosine with the nearest centroid is under this share of the least cosine of that centroid's members' lower percentile.
-REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
+REJECT_SHARE, REJECT_QUANTILE = 0.2, 0.01
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32

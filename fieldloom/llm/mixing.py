@@ -65,7 +65,7 @@ def plan(tokens: dict, budget: int, entropy_share: float = ENTROPY, repeat: floa
     return Plan(exponent, weights, {s: int(w * budget) for s, w in weights.items()}, dict(tokens))
 
 
-def draw(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY, repeat: float = REPEAT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def draw(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, n_tokens, weight, exponent, epoch (0..), block, start, of every draw of a document.
 
     Tokens are words between white space; the budget is all tokens unless given. Each pass (epoch) over a source is a new
@@ -74,6 +74,10 @@ def draw(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTR
     A null source is a source; texts without words are drawn with each pass that reaches their place. Rows with equal ids
     and texts are told apart only by the pass. Sums run over block totals, and over documents only inside one block.
     """
+    return _draws(docs, **how).drop("h")
+
+
+def _draws(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY, repeat: float = REPEAT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     spark = docs.sparkSession
     text = F.col("text")
     rows = key_text(docs, id_col, text_col, source=docs[source_col].cast("string"))
@@ -101,12 +105,13 @@ def draw(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTR
     placed = drawn.withColumn("inside", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "epoch", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = placed.alias("d").join(sums.alias("b"), same("d", "b", "block"))
     out = out.withColumn("start", F.col("tokens") * F.col("d.epoch") + F.col("before") + F.col("inside"))
-    return out.where(F.col("start") + F.col("n_tokens") <= F.col("quota")).select("doc_id", "d.source", "n_tokens", "weight", "exponent", "d.epoch", "d.block", "start")
+    return out.where(F.col("start") + F.col("n_tokens") <= F.col("quota")).select("doc_id", "h", "d.source", "n_tokens", "weight", "exponent", "d.epoch", "d.block", "start")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs as often as they are drawn, all columns as they are; rows that repeat a doc_id share its draws."""
-    times = draw(docs.dropDuplicates(["doc_id"]), **how).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("doc_id", "_id")
-    times = settle(docs.sparkSession, times, "draws")
-    out = docs.join(times, docs.doc_id.cast("long").eqNullSafe(times._id))
+    """Rows of docs as often as they are drawn, all columns as they are; rows that repeat id and text share their draws."""
+    times = _draws(docs, **how).select("doc_id", "h", "epoch").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("_times"))
+    times = settle(docs.sparkSession, times.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_times"), "draws")
+    own = docs.withColumns({"_i": docs.doc_id.cast("long"), "_t": F.xxhash64(F.coalesce(docs.text, F.lit("")))})
+    out = own.join(times, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)

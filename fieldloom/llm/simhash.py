@@ -265,8 +265,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the least doc_id; all columns as they are. Rows with a repeated doc_id count once."""
+    """One row of each near-duplicate group: that of the least doc_id; all columns as they are. Of rows with equal ids one stays."""
     spark = docs.sparkSession
-    out = settle(spark, groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "near")
+    found = settle(spark, groups(docs), "groups")
+    out = settle(spark, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "near")
     left = docs.join(out, docs.doc_id.cast("long").eqNullSafe(out._id), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
     return left.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where("_n = 1").select(*docs.columns)
