@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that one vectorised step handles at a time in a Python worker.
-STEP_BYTES = 4 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fieldloom-"))
-            root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+from fieldloom.shared import settle, shared_path
 
+__all__ = ["bucket", "buffers", "id_cuts", "key_text", "settle", "shared_path", "slices", "with_group"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text bytes that one vectorised step handles at a time in a Python worker.
+STEP_BYTES = 4 << 20
 
 
 def key_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
