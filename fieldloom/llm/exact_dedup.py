@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, shared_path, with_group
+from .common import key_text, settle, shared_path, with_group
 
 
 class DigestIndex:
@@ -31,6 +31,7 @@ class DigestIndex:
     def add(self, digests: DataFrame) -> DataFrame:
         """Append the digests (doc_id, digest) that the index lacks; returns the index."""
         groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = settle(self.spark, groups, "groups")  # else the anti-join moves below the sums, and a hot digest's rows are not summed before the shuffle
         new = groups.join(self.table().hint("merge").select("digest"), "digest", "left_anti")
         new.repartition(self.n, "digest").write.format("parquet").mode("append").bucketBy(self.n, "digest").sortBy("digest").saveAsTable(self.name, path=self.path)
         self.spark.catalog.refreshTable(self.name)
@@ -66,6 +67,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep = index.add(digests(docs, id_col, text_col)).select(F.col("digest").alias("_dg"), F.col("keep_id").alias("_id"))
     tagged = docs.withColumns({"_d": F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), "_i": docs[id_col].cast("long")})
     out = tagged.join(keep, F.col("_d").eqNullSafe(F.col("_dg")) & F.col("_i").eqNullSafe(F.col("_id")), "left_semi")
+    if docs.groupBy(docs[id_col].cast("long").alias("i")).count().where("count > 1").isEmpty():
+        return out.select(*docs.columns)  # no row can repeat both id and text
     one = Window.partitionBy("_d", "_i").orderBy(F.xxhash64(*docs.columns))
     return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
 
