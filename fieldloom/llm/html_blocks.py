@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Sizes of the hashed path and word vectors, and of the state in each direction; pages and rounds of training; seed.
-PATH_DIM, WORD_DIM, HIDDEN, PAGES, ROUNDS, SEED = 256, 48, 20, 1000, 10, 11
-#: Share of blocks whose words are hidden in training, and decay of the weights of the input.
+PATH_DIM, WORD_DIM, HIDDEN, PAGES, ROUNDS, SEED = 256, 48, 20, 1200, 12, 11
+#: Share of blocks whose words are hidden in training (half as often, their numbers), and decay of the weights of the input.
 MUTE, DECAY = 0.7, 0.004
 _EXTRA = 7
 #: Blocks that one matrix may hold in inference.
@@ -136,10 +136,11 @@ def features(page: list[Block]) -> np.ndarray:
             k, s = _slot(name, PATH_DIM)
             x[i, k] += s
         words = b.text.lower().split()
-        w = 1 / np.sqrt(len(words))
+        own = x[i, PATH_DIM : PATH_DIM + WORD_DIM]
         for word in words:
             k, s = _slot(word, WORD_DIM)
-            x[i, PATH_DIM + k] += s * w
+            own[k] += s
+        own /= max(1.0, float(np.sqrt(own @ own)))
         n = len(b.text)
         x[i, -_EXTRA:] = (b.link, np.log1p(n) / 6, np.log1p(len(words)) / 4, sum(b.text.count(c) for c in ".,;:!?") / n, i / len(page), 1 / (1 + i), len(b.path) / 10)
     return x
@@ -361,6 +362,7 @@ def trained(pages: int = PAGES, rounds: int = ROUNDS, hidden: int = HIDDEN, seed
             for i, g in enumerate(group):
                 y[i, : len(g[1])] = g[1]
             x[:, :, PATH_DIM : PATH_DIM + WORD_DIM] *= (chance.random(mask.shape) >= MUTE)[:, :, None]
+            x[:, :, PATH_DIM + WORD_DIM :] *= (chance.random(mask.shape) >= MUTE / 2)[:, :, None]
             step += 1
             rate = 0.01 * (1 - r / rounds) + 0.001
             for k, g in net.gradient(x, mask, y).items():
