@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import functools
 import html
+import os
+import pickle
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -340,7 +344,17 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
 
 @functools.lru_cache(maxsize=2)
 def trained(pages: int = PAGES, rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = SEED) -> BiLstm:
-    """The network after Adam on generated pages; the same for the same numbers, so a session trains it once."""
+    """train() in a process of its own with one thread, which small matrices need; a session trains once for the same numbers."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {k: "1" for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")} | {"PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
+    code = f"import pickle, sys; from fieldloom.llm import html_blocks as h; sys.stdout.buffer.write(pickle.dumps(h.train({pages}, {rounds}, {hidden}, {seed}).w))"
+    net = BiLstm(PATH_DIM + WORD_DIM + _EXTRA, hidden, seed)
+    net.w = pickle.loads(subprocess.run([sys.executable, "-c", code], env=env, check=True, stdout=subprocess.PIPE).stdout)
+    return net
+
+
+def train(pages: int, rounds: int, hidden: int, seed: int) -> BiLstm:
+    """The network after Adam on generated pages."""
     rng = random.Random(seed)
     data = []
     while len(data) < pages:
