@@ -15,7 +15,10 @@ and then moved, with contents that depend on the input alone, so tasks can be ru
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import re
 import uuid
 import zlib
 from collections import OrderedDict
@@ -39,50 +42,105 @@ CACHE, SHORT, BLOCK = 400_000, 48, 1 << 17
 PART_ROWS, PARTS = 10_000, 4096
 
 
+#: Words of these characters are cut into pieces here: printable ASCII and letters that normalising leaves alone; others go whole to the library.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The vocabulary's own pattern, for such words.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: its own if it is printable, else the next free ones from 256."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in keep} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in keep)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordEncoder:
-    """Ids by the tokenizers library. The vocabulary drops white space, so words between blanks are encoded by themselves and kept."""
+    """Ids by the tokenizers library. The vocabulary drops white space, so words between blanks are encoded by themselves and kept.
+
+    Plain words are lower-cased and cut into pieces here and each new piece goes to the library's BPE model; all other
+    words, and those that may hold a special token, go through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        self.model = self.t.model
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.offsets, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Forget the words met once since the last thinning, and all if too many are left."""
+        often = self.seen > 1
+        if often.sum() > CACHE // 2:
+            return self.clear()
+        kept = [w for w, keep in zip(self.slot, often[np.fromiter(self.slot.values(), np.int64, len(self.slot))].tolist()) if keep]
+        at = np.fromiter(map(self.slot.__getitem__, kept), np.int64, len(kept))
+        self.ids, self.offsets = gather(self.ids, self.offsets, at)
+        self.slot, self.seen, self.pieces = {w: i for i, w in enumerate(kept)}, np.zeros(len(kept), np.int64), {}
+
+    def _word(self, word: str) -> list[int]:
+        low = word.lower()
+        if low.isascii() and low.isalpha():
+            parts = (low,)
+        elif _PLAIN.fullmatch(word) and "<|" not in word:
+            parts = _PIECES.findall(low)
+        else:
+            return self.t.encode(word, add_special_tokens=False).ids
+        out, have = [], self.pieces
+        for piece in parts:
+            got = have.get(piece)
+            if got is None:
+                raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                got = [x.id for x in self.model.tokenize(raw)]
+                if len(piece) <= SHORT:
+                    have[piece] = got
+            out += got
+        return out
 
     def __call__(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and their offsets."""
-        if len(self.slot) > CACHE:
-            self.clear()
-        if b"" not in self.slot:  # no word is empty: this slot is the end id
-            self.slot[b""] = len(self.offsets) - 1
-            self.ids, self.offsets = np.append(self.ids, np.uint32(end)), np.append(self.offsets, self.offsets[-1] + 1)
+        if len(self.offsets) > CACHE:
+            self._thin()
         words = [t.encode().split() for t in texts]  # at ASCII white space, which every definition of white space has
+        for x in words:
+            x.append(b"")  # no word is empty: this one stands for the end id
         slot = self.slot
         new = list({w for x in words for w in x if w not in slot})
-        long = False
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            long |= max(map(len, some)) > SHORT
-            got = [e.ids for e in self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+        if new:
+            got = [self._word(w.decode()) if w else [end] for w in new]
             base = len(self.offsets) - 1
-            slot.update((w, base + i) for i, w in enumerate(some))
+            slot.update((w, base + i) for i, w in enumerate(new))
             lens = np.fromiter(map(len, got), np.int64, len(got))
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lens)])
-        for x in words:
-            x.append(b"")
-        which = np.fromiter((slot[w] for x in words for w in x), np.int64, sum(map(len, words)))
+        which = np.fromiter(map(slot.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(map(len, words)))
         ids, at = gather(self.ids, self.offsets, which)
+        count = np.bincount(which, minlength=len(self.offsets) - 1)
+        count[: len(self.seen)] += self.seen
+        self.seen = count
         ends = np.zeros(len(words) + 1, np.int64)
         np.cumsum([len(x) for x in words], out=ends[1:])
-        if long:
-            self.clear()
+        if new and max(map(len, new)) > SHORT:
+            for w in new:  # do not keep long words
+                if len(w) > SHORT:
+                    del slot[w]
         return ids, at[ends]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, whose words outlive the task."""
+    return WordEncoder(path)
+
+
 def cuts(ids: np.ndarray, offsets: np.ndarray, mean: int = MEAN, largest: int = LARGEST, window: int = WINDOW) -> np.ndarray:
     """Chunk borders of documents whose ids stand end to end; offsets are the documents' borders and stay borders.
 
@@ -116,7 +174,7 @@ def merkle(digests: list[bytes]) -> bytes:
 
 def _encode(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, zip_ = WordEncoder(path), zstandard.ZstdCompressor(level=1)
+        enc, zip_ = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, step=2 << 20):
             ids, off = enc(batch.column("text").to_pylist())
             edges = cuts(ids, off)
@@ -128,6 +186,7 @@ def _encode(path: str, width: int):
                 "doc_id": batch.column("doc_id"), "h": batch.column("h"),
                 "ids": pa.array([zip_.compress(raw[a:b]) for a, b in zip((off[:-1] * width).tolist(), (off[1:] * width).tolist())], pa.binary()),
                 "digests": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(digests, pa.binary())),
+                "lens": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.diff(edges).astype(np.int32))),
             })
 
     return run
@@ -179,7 +238,7 @@ def _write(uri: str, width: int, schema: pa.Schema):
             rows.append({"kind": "manifest", "part": pack.part, "seq": seq, "n_tokens": start, "root": merkle(roots)})
 
         for batch in batches:
-            for part, i, digest, data, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "digest", "ids", "digests"))):
+            for part, i, digest, data, digests, lens in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "digest", "ids", "digests", "lens"))):
                 if pack is None or pack.part != part:
                     if pack:
                         finish()
@@ -187,24 +246,26 @@ def _write(uri: str, width: int, schema: pa.Schema):
                 if digest is not None:
                     own.add(digest)
                     continue
-                raw = unzip.decompress(data)
-                ids = np.frombuffer(raw, f"<u{width}")
-                edges = cuts(ids, np.array([0, len(ids)])).tolist()
-                for d, a, b in zip(digests, edges, edges[1:]):
+                n, raw = sum(lens), None
+                b = 0
+                for d, k in zip(digests, lens):
+                    a, b = b, b + k
                     if d in own:
                         own.discard(d)
-                        pack.add(d, raw[a * width : b * width], b - a)
+                        raw = unzip.decompress(data) if raw is None else raw
+                        pack.add(d, raw[a * width : b * width], k)
                         if pack.have >= BLOCK:
                             rows += pack.flush()
                 roots.append(merkle(digests))
-                rows.append({"kind": "doc", "part": part, "seq": seq, "doc_id": i, "start": start, "n_tokens": len(ids), "root": roots[-1], "digests": digests})
-                seq, start = seq + 1, start + len(ids)
+                rows.append({"kind": "doc", "part": part, "seq": seq, "doc_id": i, "start": start, "n_tokens": n, "root": roots[-1], "digests": digests})
+                seq, start = seq + 1, start + n
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows.clear()
         if pack:
             finish()
             yield pa.RecordBatch.from_pylist(rows, schema)
+            rows.clear()
 
     return run
 
@@ -218,11 +279,11 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     points = id_cuts(docs.select(docs[id_col].cast("long").alias("i")), PART_ROWS, PARTS)
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket(F.col("doc_id"), points)).cast("int")
-    spool = key_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(_encode(tokenizer, width), "doc_id long, h long, ids binary, digests array<binary>")
+    spool = key_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(_encode(tokenizer, width), "doc_id long, h long, ids binary, digests array<binary>, lens array<int>")
     spool = settle(spark, spool, "spool").withColumn("part", part)
     seen = spool.select("part", "doc_id", "h", F.explode("digests").alias("digest"))
     owners = seen.groupBy("digest").agg(F.min(F.struct("part", "doc_id", "h")).alias("o")).select("o.part", "o.doc_id", "o.h", "digest")
-    rows = spool.select("part", "doc_id", "h", F.lit(None).cast("binary").alias("digest"), "ids", "digests").unionByName(owners, allowMissingColumns=True)
+    rows = spool.select("part", "doc_id", "h", F.lit(None).cast("binary").alias("digest"), "ids", "digests", "lens").unionByName(owners, allowMissingColumns=True)
     rows = rows.repartitionById(len(points) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", F.col("digest").isNull())
     kinds = {"kind": pa.string(), "part": pa.int32(), "root": pa.binary(), "digests": pa.list_(pa.binary()), "digest": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.int64())) for c in _OUT.split(", ")])
