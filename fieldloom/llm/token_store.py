@@ -86,8 +86,7 @@ class WordEncoder:
         self.ids, self.offsets = gather(self.ids, self.offsets, at)
         self.slot, self.seen, self.pieces = {w: i for i, w in enumerate(kept)}, np.zeros(len(kept), np.int64), {}
 
-    def _word(self, word: str) -> list[int]:
-        low = word.lower()
+    def _word(self, word: str, low: str) -> list[int]:
         if low.isascii() and low.isalpha():
             parts = (low,)
         elif _PLAIN.fullmatch(word) and "<|" not in word:
@@ -113,9 +112,11 @@ class WordEncoder:
         for x in words:
             x.append(b"")  # no word is empty: this one stands for the end id
         slot = self.slot
-        new = list({w for x in words for w in x if w not in slot})
+        new = [w for w in set().union(*words) if w not in slot]
         if new:
-            got = [self._word(w.decode()) if w else [end] for w in new]
+            both = b"\n".join(new).decode()  # no word holds a line end
+            have = self.pieces
+            got = [have.get(low) or (self._word(w, low) if w else [end]) for w, low in zip(both.split("\n"), both.lower().split("\n"))]
             base = len(self.offsets) - 1
             slot.update((w, base + i) for i, w in enumerate(new))
             lens = np.fromiter(map(len, got), np.int64, len(got))
@@ -210,11 +211,12 @@ class _Pack:
         self.held.append(data)
         self.have += len(data)
 
-    def flush(self) -> list[dict]:
+    def flush(self) -> list[tuple]:
         """Write what is held as one block; the index rows of its chunks."""
         block = zstandard.ZstdCompressor(level=1).compress(b"".join(self.held))
         self.out.write(block)
-        out = [{"kind": "chunk", "part": self.part, "digest": d, "block": self.at, "size": len(block), "at": a, "n_tokens": n} for d, a, n in self.rows]
+        size = len(block)
+        out = [("chunk", self.part, None, None, None, n, None, None, d, self.at, size, a) for d, a, n in self.rows]
         self.at += len(block)
         self.have, self.held, self.rows = 0, [], []
         return out
@@ -229,13 +231,13 @@ def _write(uri: str, width: int, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        rows: list[dict] = []
+        rows: list[tuple] = []  # in the order of _OUT
         pack, own, roots, seq, start = None, set(), [], 0, 0
 
         def finish() -> None:
             rows.extend(pack.flush())
             pack.close()
-            rows.append({"kind": "manifest", "part": pack.part, "seq": seq, "n_tokens": start, "root": merkle(roots)})
+            rows.append(("manifest", pack.part, seq, None, None, start, merkle(roots), None, None, None, None, None))
 
         for batch in batches:
             for part, i, digest, data, digests, lens in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "digest", "ids", "digests", "lens"))):
@@ -257,14 +259,14 @@ def _write(uri: str, width: int, schema: pa.Schema):
                         if pack.have >= BLOCK:
                             rows += pack.flush()
                 roots.append(merkle(digests))
-                rows.append({"kind": "doc", "part": part, "seq": seq, "doc_id": i, "start": start, "n_tokens": n, "root": roots[-1], "digests": digests})
+                rows.append(("doc", part, seq, i, start, n, roots[-1], digests, None, None, None, None))
                 seq, start = seq + 1, start + n
             if len(rows) > 5000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows.clear()
         if pack:
             finish()
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
             rows.clear()
 
     return run
