@@ -2,8 +2,9 @@
 
 Tokens are ordered by their document frequency over the whole corpus, rarest first. A block that holds at least
 a = ceil(THRESHOLD * |T|) of a template's tokens must share one of T's first |T| - a + 1 tokens with one of its own first
-tokens (prefix filter), have at least a tokens and not over LOOSE * |T| (length filter), and from each shared place on still have enough
-tokens on both sides (positional filter). What passes is counted exactly. Blocks are lines and paragraphs.
+tokens (prefix filter), have at least a tokens (length filter), and from each shared place on still have enough
+tokens on both sides (positional filter). What passes is counted exactly. Blocks are lines and paragraphs of any length; where
+words met far apart are unwanted, a block with over loose * |T| different tokens counts by its runs of that many words, all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import buffers, key_text, slices
 from .texthash import ascii_lower, prefix, spans, words
 
-THRESHOLD, LOOSE = 0.8, 8
+#: Least containment; different tokens, as a multiple of the template's, beyond which a block counts by its runs (inf: always as a whole), and those of the query.
+THRESHOLD, LOOSE, COMPACT = 0.8, math.inf, 8
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices of well-known licenses.
@@ -87,18 +89,15 @@ class Templates:
         hit = np.flatnonzero(self.hashes[at] == hashes)
         return hit, self.token_of[at[hit]]
 
-    def match(self, ranks: list[int], size) -> list[tuple[int, float]]:
-        """(template, containment) of a block with these template tokens, in order; size(): all its different tokens."""
+    def match(self, ranks: list[int]) -> list[tuple[int, int]]:
+        """(template, tokens of it) of a block with these template tokens, in order."""
         met: dict[int, int] = {}
-        n = None
         for j, r in enumerate(ranks):
             for t, at in self.index.get(r, ()):
                 need, have = self.need[t], met.get(t, 0)
                 if have < 0 or j > len(ranks) - need:
                     continue
-                if n is None:
-                    n = size()
-                if n < need or n > self.most[t] or have + 1 + min(len(self.sorted[t]) - at - 1, len(ranks) - j - 1) < need:
+                if have + 1 + min(len(self.sorted[t]) - at - 1, len(ranks) - j - 1) < need:
                     met[t] = -1
                 else:
                     met[t] = have + 1
@@ -107,10 +106,26 @@ class Templates:
             if have > 0:
                 both = len(own.intersection(self.sorted[t]))
                 if both >= self.need[t]:
-                    out.append((t, both / len(self.sorted[t])))
+                    out.append((t, both))
         return out
 
 
+def _run(at: list[int], rank: list[int], width: float) -> tuple[int, int, int]:
+    """Most different ranks on `width` words in a row, and the first and last place of the first such run."""
+    held: dict[int, int] = {}
+    best, left = (0, 0, 0), 0
+    for place, r in zip(at, rank):
+        held[r] = held.get(r, 0) + 1
+        while at[left] <= place - width:
+            held[rank[left]] -= 1
+            if not held[rank[left]]:
+                del held[rank[left]]
+            left += 1
+        if len(held) > best[0]:
+            best = (len(held), at[left], place)
+    return best
+
+
 class Batch:
     """Words of the texts of a batch."""
 
@@ -171,8 +186,8 @@ def _blocks(b: Batch, t: Templates, block: np.ndarray, out: list[list[dict]]) ->
     hit, token = t.find(b.hash)
     if not len(hit):
         return
-    rank, own = t.rank[token], block[hit]
-    key = np.unique(own * len(t.tokens) + rank)
+    every, own = t.rank[token], block[hit]
+    key = np.unique(own * len(t.tokens) + every)
     own, rank = key // len(t.tokens), key % len(t.tokens)
     edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
     likely = np.add.reduceat(t.is_prefix[rank], edges[:-1]) > 0
@@ -180,9 +195,17 @@ def _blocks(b: Batch, t: Templates, block: np.ndarray, out: list[list[dict]]) ->
     for e in np.flatnonzero(likely).tolist():
         a, z = edges[e], edges[e + 1]
         lo, hi = np.searchsorted(block, own[a], "left"), np.searchsorted(block, own[a], "right")
-        for k, share in t.match(rank[a:z].tolist(), lambda: len(np.unique(b.hash[lo:hi]))):
-            row = int(b.row[lo])
-            out[row].append({"label": t.labels[k], "first_word": int(lo - b.first[row]), "last_word": int(hi - 1 - b.first[row]), "containment": share})
+        found = t.match(rank[a:z].tolist())
+        n = len(np.unique(b.hash[lo:hi])) if found else 0
+        for k, both in found:
+            row, begin, end = int(b.row[lo]), lo, hi - 1
+            if n > t.most[k]:
+                near = slice(*np.searchsorted(hit, [lo, hi]))
+                mine = np.isin(every[near], t.sorted[k])
+                both, begin, end = _run(hit[near][mine].tolist(), every[near][mine].tolist(), t.most[k])
+                if both < t.need[k]:
+                    continue
+            out[row].append({"label": t.labels[k], "first_word": int(begin - b.first[row]), "last_word": int(end - b.first[row]), "containment": both / len(t.sorted[k])})
 
 
 _MATCH = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("containment", pa.float64())]))
@@ -192,7 +215,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of each row's whole text.
 
     n_base counts the places of the phrases, first_word and last_word are their least and largest first words (null without
-    any). matches has each block (a line, or a paragraph of several lines) with a template's containment. labels are those of
+    any). matches has each block (a line, or a paragraph of several lines) with a template's containment; a block with over
+    `loose` times the template's tokens counts if a run of that many of its words holds the template, and the best run stands for it. labels are those of
     phrases and matches; score is 1 with a phrase, else the best containment, else 0. Null and empty texts have no words.
     """
     t = Templates(templates, threshold, loose)

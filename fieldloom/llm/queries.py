@@ -19,7 +19,7 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_docs(spark, sf_dir)).drop("matches")
+    return licenses.scan(_docs(spark, sf_dir), loose=licenses.COMPACT).drop("matches")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

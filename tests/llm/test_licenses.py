@@ -65,5 +65,36 @@ def test_random_sets_find_every_pair(spark):
             assert r.labels == ",".join(sorted(want))
 
 
+def test_notices_in_long_blocks_are_found(spark):
+    filler = [f"word{i}" for i in range(600)]
+    gpl, mpl = (t for label, t in x.TEMPLATES if label in ("gpl", "mpl-2") and len(t) < 100)
+    bsd = next(t for label, t in x.TEMPLATES if label == "bsd").split()
+    line = " ".join([*filler[:300], gpl, *filler[300:]])
+    wrapped = "\n".join([*filler[:300], " ".join(bsd[:9]), " ".join(bsd[9:]), *filler[300:]])
+    df = spark.createDataFrame(list(enumerate([line, mpl + " " + line, wrapped, " ".join(filler)])), "doc_id long, text string")
+    got = {r.doc_id: r for r in x.scan(df, loose=x.COMPACT).collect()}
+    assert {i: (r.labels, r.score) for i, r in got.items()} == {0: ("gpl", 1.0), 1: ("gpl,mpl-2", 1.0), 2: ("bsd", 1.0), 3: ("", 0.0)}
+    assert [(m.first_word, m.last_word) for m in got[0].matches] == [(300, 311)]
+    assert {r.doc_id for r in x.scan(df).where("labels <> ''").collect()} == {0, 1, 2}
+
+
+def test_runs_match_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    templates = tuple((f"t{i}", " ".join(rng.sample(vocab, rng.randint(3, 8)))) for i in range(10))
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(1, 80))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in x.scan(df, templates, {}, loose=2).collect():
+        words, want = texts[r.doc_id].split(), set()
+        for label, t in templates:
+            s, n = set(t.split()), 2 * len(t.split())
+            runs = [words] if len(set(words)) <= n else [words[i : i + n] for i in range(len(words))]
+            if max(len(s & set(w)) for w in runs) >= math.ceil(x.THRESHOLD * len(s) - 1e-9):
+                want.add(label)
+        assert r.labels == ",".join(sorted(want))
+
+
 def test_empty(none):
     assert x.scan(none).collect() == []
