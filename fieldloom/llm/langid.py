@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_text, settle, slices, buffers
+from .common import buffers, key_text, slices
 
 #: Buckets that n-grams are hashed to, n-gram lengths in bytes, centroids a language.
 DIM, GRAMS, CENTROIDS = 4096, (1, 2, 3), 3
@@ -166,7 +166,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that identify() rejects, all columns as they are."""
-    spark = docs.sparkSession
-    out = settle(spark, identify(docs).where("rejected").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(out, docs.doc_id.cast("long").eqNullSafe(out._id), "left_anti")
+    """docs without the rows that identify() rejects, all columns as they are. Each row is judged by its own text; ids play no part."""
+    model = fit(docs, fold(docs, 3) != 1)
+    rows = docs.select("*", F.coalesce(docs.text.cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            if model is None:
+                keep[:] = False
+            else:
+                keep &= ~np.concatenate([model.predict(c)[2] for c in counts(batch.column("text"))])
+            yield batch.filter(pa.array(keep)).drop_columns(["_letters"])
+
+    return rows.mapInArrow(run, docs.schema)

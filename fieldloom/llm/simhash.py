@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_text, settle, slices, with_group
@@ -48,7 +48,7 @@ def _prints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = np.fromiter((fingerprint(t, k) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(got.view(np.int64))})
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(got.view(np.int64)))
 
     return run
 
@@ -243,20 +243,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         was = now
 
 
+def _named(prints: DataFrame, least: Column, bits: int) -> DataFrame:
+    """(fp, n, first) of each fingerprint (rows: n): the least value of `least`, nulls apart, in the component of the fingerprint."""
+    spark = prints.sparkSession
+    distinct = settle(spark, prints.groupBy("fp").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    roots = components(links(distinct.select("fp"), bits))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = settle(spark, named, "named")
+    small = settle(spark, named.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("members"), F.sum(F.lit(1).cast("long")).alias("prints")), "small")
+    byfp = with_group(named.select("fp", "n", "root"), small.select("root", "first", "prints"), "root", "prints", "fp").select("fp", "n", "first")
+    return settle(spark, byfp, "byfp")
+
+
 def groups(docs: DataFrame, k: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links of `bits` or fewer differing bits, itself included).
 
     Texts without words have fingerprint zero and are linked like any other. A null doc_id is never the least unless all are null.
     """
-    spark = docs.sparkSession
-    prints = settle(spark, fingerprints(docs, k, id_col, text_col), "fingerprints")
-    distinct = settle(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = settle(spark, named, "named")
-    small = settle(spark, named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"), F.sum(F.lit(1).cast("long")).alias("prints")), "small")
-    byfp = with_group(named.select("fp", "n", "root"), small.select("root", "component_id", "prints"), "root", "prints", "fp").select("fp", "n", "component_id")
-    return with_group(prints, settle(spark, byfp, "byfp"), "fp", "n", "doc_id").select("doc_id", "fp", "component_id")
+    prints = settle(docs.sparkSession, fingerprints(docs, k, id_col, text_col), "fingerprints")
+    byfp = _named(prints, F.col("doc_id"), bits)
+    return with_group(prints, byfp, "fp", "n", "doc_id").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -265,11 +271,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the least doc_id; all columns as they are. Of rows with equal ids one stays."""
+    """One row of each near-duplicate group: that of the least doc_id (null: last), then of the least sha256 of its text; all columns as they are.
+
+    A row is known by id and text together, so that null or repeated ids take no other text along. Of rows that repeat both one stays.
+    """
     spark = docs.sparkSession
-    found = settle(spark, groups(docs), "groups")
-    out = settle(spark, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "near")
-    left = docs.join(out, docs.doc_id.cast("long").eqNullSafe(out._id), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where("_n = 1").select(*docs.columns)
+    rows = key_text(docs).withColumn("digest", F.sha2("text", 256))
+    prints = settle(spark, rows.mapInArrow(_prints(WORDS), "doc_id long, digest string, fp long"), "fingerprints")
+    byfp = _named(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"), BITS)
+    found = with_group(prints.withColumn("tie", F.xxhash64("doc_id", "digest")), byfp, "fp", "n", "tie")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    out = settle(spark, found.where(~stays).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_dg")).distinct(), "near")
+    tagged = docs.withColumns({"_i": docs.doc_id.cast("long"), "_d": F.sha2(F.coalesce(docs.text.cast("string"), F.lit("")), 256)})
+    left = tagged.join(out, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_dg")), "left_anti")
+    if prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        return left.select(*docs.columns)
+    one = Window.partitionBy("_i", "_d").orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

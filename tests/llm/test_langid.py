@@ -53,3 +53,12 @@ def test_counts_see_whole_texts():
     a, b = "x" * 50_000 + "ab", "ab"
     one = next(x.counts(pa.array([a, b, None, "Ab"], pa.string())))
     assert one[0].sum() > 100_000 and np.array_equal(one[1], one[3]) and one[2].sum() <= 1
+
+
+def test_one_rejected_row_takes_no_other_along(spark):
+    from pyspark.sql import functions as F
+
+    df = table(spark).withColumn("doc_id", F.when(F.col("doc_id") < 180, F.col("doc_id"))).cache()
+    junk = spark.createDataFrame([(None, "12 34 !!", "en", ""), (200, "...", "de", ""), (None, None, None, None)], df.schema)
+    kept = x.keep_identified(df.union(junk))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))

@@ -99,3 +99,13 @@ def test_stage(odd, odd_rows):
     assert got.columns == odd.columns
     prints = {r[0]: plain_print(r[1]) for r in odd_rows if r[0] is not None}
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(set(plain_components(prints).values()))
+
+
+def test_stage_keeps_every_text_whatever_its_id(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (3, e.upper()), (9, f), (9, a), (7, d), (None, f), (5, f.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in s.keep_one(df).collect()), key=str)
+    assert got == sorted([(9, a), (None, b), (None, c), (7, d), (3, e.upper()), (5, f.upper())], key=str)
