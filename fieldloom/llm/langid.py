@@ -8,14 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, key_text, slices
+from .common import buffers, key_text, settle, slices
 
 #: Buckets that n-grams are hashed to, n-gram lengths in bytes, centroids a language.
 DIM, GRAMS, CENTROIDS = 4096, (1, 2, 3), 3
-#: Labelled rows a language that the centroids are fitted on (chosen by hash); idf is counted over all training rows.
+#: Different labelled texts a language that the centroids are fitted on (chosen by hash); idf is counted over all training rows.
 SAMPLE = 400
 #: A text is rejected if its cosine with the nearest centroid is under this share of the least cosine of that centroid's members' lower percentile.
 REJECT_SHARE, REJECT_QUANTILE = 0.2, 0.01
@@ -91,19 +91,37 @@ def _df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        x = np.vstack(list(counts(batch.column("text"))))
-        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "order": batch.column("order"), "v": pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())})
+        x = np.vstack([np.log1p(c) for c in counts(batch.column("text"))])
+        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "order": batch.column("order"), "v": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
+
+
+def _sample(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, order, text) of the SAMPLE different texts of least hash of each language, and the rows of each language; copies count once."""
+    spark = labelled.sparkSession
+    rows = labelled.withColumn("order", F.xxhash64("text")).select("lang", "order", "text")
+    texts = settle(spark, rows.groupBy("lang", "order").agg(F.count(F.lit(1)).alias("n")), "texts")
+    sizes = {r.lang: r for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).collect()}
+    if not sizes:
+        return rows, {}
+    # twice the places at least, then the least in order: Spark cuts each task's rows to SAMPLE before the shuffle
+    parts = 1 << 20
+    share = F.create_map(*[F.lit(x) for lang, r in sizes.items() for x in (lang, min(parts, -(-parts * 2 * SAMPLE // r.texts)))])
+    at = F.pmod("order", F.lit(parts))
+    few = texts.where(at < share[F.col("lang")]).withColumn("at", at)
+    first = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "order"))).where(F.col("_n") <= SAMPLE)
+    first = settle(spark, first.select("lang", "order"), "first")
+    chosen = rows.join(F.broadcast(first), ["lang", "order"], "left_semi").groupBy("lang", "order").agg(F.min("text").alias("text"))
+    return settle(spark, chosen, "chosen"), {lang: r.rows for lang, r in sizes.items()}
 
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from the rows where `usable` holds, lang is not null and the text has a letter; None if there are none.
 
-    What reaches the driver is DIM document counts and at most SAMPLE vectors a language.
+    What reaches the driver is DIM document counts and at most SAMPLE vectors a language, of different texts.
     """
     lang = docs[lang_col].cast("string")
     labelled = key_text(docs.where(usable & lang.isNotNull()), id_col, text_col, lang=lang).where(F.col("text").rlike(r"\p{L}"))
-    labelled = labelled.withColumn("order", F.xxhash64("text"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen, sizes = _sample(labelled)
     if not sizes:
         return None
     df = np.zeros(DIM, np.int64)
@@ -111,17 +129,11 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         df[r.bucket] = r.df
     n = sum(sizes.values())
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    parts = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, m in sizes.items() for x in (lang, min(parts, -(-parts * 2 * SAMPLE // m)))])
-    some = labelled.where(F.pmod("order", F.lit(parts)) < share[F.col("lang")])
-    ranked = some.withColumn("at", F.pmod("order", F.lit(parts)))
-    got = ranked.drop("doc_id", "order").withColumnRenamed("at", "order").mapInArrow(_vector_rows, "lang string, order long, v binary").collect()
+    got = chosen.mapInArrow(_vector_rows, "lang string, order long, v binary").collect()
     langs, cents, owner, least = sorted(sizes), [], [], []
     for k, name in enumerate(langs):
-        mine = sorted(((r.order, bytes(r.v)) for r in got if r.lang == name))[:SAMPLE]
-        if not mine:
-            continue
-        x = unit(np.log1p(np.array([np.frombuffer(v, np.float16) for _, v in mine]).astype(np.float32)) * idf)
+        mine = sorted((r.order, bytes(r.v)) for r in got if r.lang == name)
+        x = unit(np.array([np.frombuffer(v, np.float32) for _, v in mine]) * idf)
         c = _clusters(x, CENTROIDS)
         near = (x @ c.T).max(1)
         cents.append(c)

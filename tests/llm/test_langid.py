@@ -62,3 +62,30 @@ def test_one_rejected_row_takes_no_other_along(spark):
     junk = spark.createDataFrame([(None, "12 34 !!", "en", ""), (200, "...", "de", ""), (None, None, None, None)], df.schema)
     kept = x.keep_identified(df.union(junk))
     assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+
+
+def test_sample_of_copies_and_huge_counts(spark):
+    """A language of copies alone is fitted, copies fill no places, and a text with over 65,504 equal n-grams spoils nothing."""
+    from pyspark.sql import functions as F
+
+    df = table(spark)
+    copies = spark.range(1000, 1000 + 3 * x.SAMPLE).select("id", F.lit("ett och det som en av för med").alias("text"), F.lit("sv").alias("lang"), F.lit("sv").alias("score"))
+    huge = spark.createDataFrame([(5000, "der " * 70_000, "de", "de")], df.schema)
+    docs = df.union(copies).union(huge)
+    model = x.fit(docs, F.lit(True))
+    assert model.langs == ["de", "en", "fr", "sv"] and len(set(model.lang_of.tolist())) == 4 and bool((model.centroids == model.centroids).all())
+    got = {r.doc_id: r.lang_pred for r in x.predict(docs, model).collect()}
+    assert all(got[r.doc_id] == r.score for r in docs.where("score = 'sv'").collect()) and len(set(got.values())) == 4
+    chosen, sizes = x._sample(docs.where("lang is not null"))
+    assert sizes["sv"] == 3 * x.SAMPLE and chosen.where("lang = 'sv'").count() == 1
+
+
+def test_small_language_of_many_is_fitted(spark):
+    from pyspark.sql import functions as F
+
+    few = " ".join(f"w{i}" for i in range(9))
+    big = spark.range(2 * x.SAMPLE * 4).select("id", F.concat(F.lit("the of and "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for i in range(6):
+        big = big.union(spark.range(90000 + 1000 * i, 90000 + 1000 * i + 1 + 899 * (i == 0)).select("id", F.lit(f"{few} {'x' * i}").alias("text"), F.lit("zz").alias("lang")))
+    chosen, sizes = x._sample(big.select(F.col("id").alias("doc_id"), "text", "lang"))
+    assert {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"en": x.SAMPLE, "zz": 6}
