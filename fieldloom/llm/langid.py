@@ -17,8 +17,9 @@ from .common import buffers, key_text, settle, slices
 DIM, GRAMS, CENTROIDS = 4096, (1, 2, 3), 3
 #: Different labelled texts a language that the centroids are fitted on (chosen by hash); idf is counted over all training rows.
 SAMPLE = 400
-#: A text is rejected if its cosine with the nearest centroid is under this share of the least cosine of that centroid's members' lower percentile.
-REJECT_SHARE, REJECT_QUANTILE = 0.2, 0.01
+#: A text is rejected if its cosine with the nearest centroid is under this share of a lower quantile of the cosines of that
+#: language's members at its length; members count whole and by their first 8, 16, 32.. letters.
+REJECT_SHARE, REJECT_QUANTILE, SHORTEST = 0.9, 0.01, 8
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -60,14 +61,18 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     lang_of: np.ndarray
-    least: np.ndarray
+    least: list[tuple[np.ndarray, np.ndarray]]  # for each language: log2 of n-grams, ascending, and the least cosine there
 
     def predict(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, cosine with the nearest centroid, and whether that is too far."""
         cos = unit(np.log1p(c) * self.idf) @ self.centroids.T
         best = cos.argmax(1)
         top = cos[np.arange(len(c)), best]
-        return self.lang_of[best], top, top < self.least[best]
+        lang, size = self.lang_of[best], np.log2(np.maximum(c.sum(1), 1))
+        least = np.zeros(len(c))
+        for k in np.unique(lang):
+            least[lang == k] = np.interp(size[lang == k], *self.least[k])
+        return lang, top, top < least
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -95,6 +100,30 @@ def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "order": batch.column("order"), "v": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
 
 
+def _near_rows(model: Model):
+    """Rows (lang, text): log2 of n-grams and cosine with the nearest centroid of the language, of each text and its beginnings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                cuts = [text[: SHORTEST << j] for j in range(max(0, (len(text) - 1) // SHORTEST).bit_length())] + [text]
+                cuts = [t for t in cuts if any(map(str.isalpha, t))]
+                own = model.centroids[model.lang_of == model.langs.index(lang)]
+                for c in counts(pa.array(cuts, pa.string())):
+                    near = (unit(np.log1p(c) * model.idf) @ own.T).max(1)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c)), "size": pa.array(np.log2(np.maximum(c.sum(1), 1)).astype(float)), "near": pa.array(near.astype(float))})
+
+    return run
+
+
+def _least(size: np.ndarray, near: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths (in whole powers of two that enough members have) and the least cosine that is accepted at each."""
+    step = np.round(size).astype(int)
+    steps, n = np.unique(step, return_counts=True)
+    steps = steps[n >= min(100, members / 2, n.max())]  # a quantile of 1% needs a hundred
+    return steps.astype(float), np.array([REJECT_SHARE * np.quantile(near[step == s], REJECT_QUANTILE) for s in steps])
+
+
 def _sample(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(lang, order, text) of the SAMPLE different texts of least hash of each language, and the rows of each language; copies count once."""
     spark = labelled.sparkSession
@@ -130,16 +159,20 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     n = sum(sizes.values())
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     got = chosen.mapInArrow(_vector_rows, "lang string, order long, v binary").collect()
-    langs, cents, owner, least = sorted(sizes), [], [], []
+    langs, cents, owner = sorted(sizes), [], []
     for k, name in enumerate(langs):
         mine = sorted((r.order, bytes(r.v)) for r in got if r.lang == name)
         x = unit(np.array([np.frombuffer(v, np.float32) for _, v in mine]) * idf)
         c = _clusters(x, CENTROIDS)
-        near = (x @ c.T).max(1)
         cents.append(c)
         owner += [k] * len(c)
-        least += [REJECT_SHARE * float(np.quantile(near, REJECT_QUANTILE))] * len(c)
-    return Model(langs, idf, np.vstack(cents).astype(np.float32), np.array(owner), np.array(least, np.float32))
+    model = Model(langs, idf, np.vstack(cents).astype(np.float32), np.array(owner), [])
+    rows = chosen.mapInArrow(_near_rows(model), "lang string, size double, near double").collect()  # SAMPLE texts a language, about 20 beginnings each
+    members = {name: sum(r.lang == name for r in got) for name in langs}
+    for name in langs:
+        size, near = np.array([(r.size, r.near) for r in rows if r.lang == name]).T
+        model.least.append(_least(size, near, members[name]))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

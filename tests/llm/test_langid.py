@@ -1,4 +1,8 @@
+import os
 import random
+import string
+
+import pytest
 
 from fieldloom.llm import langid as x
 
@@ -89,3 +93,26 @@ def test_small_language_of_many_is_fitted(spark):
         big = big.union(spark.range(90000 + 1000 * i, 90000 + 1000 * i + 1 + 899 * (i == 0)).select("id", F.lit(f"{few} {'x' * i}").alias("text"), F.lit("zz").alias("lang")))
     chosen, sizes = x._sample(big.select(F.col("id").alias("doc_id"), "text", "lang"))
     assert {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"en": x.SAMPLE, "zz": 6}
+
+
+JUNK = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").cache()
+    model = x.fit(docs, x.fold(docs, 3) != 1)
+    rng = random.Random(6)
+    some = lambda n, alphabet: "".join(rng.choices(alphabet, k=n))
+    junk = [t * k for t in JUNK.values() for k in (1, 3, 20)]
+    junk += [some(n, a) for n in (200, 2000, 20000) for a in (string.ascii_letters + "   ", string.ascii_letters + string.digits + "+/", "0123456789abcdef")]
+    got = x.predict(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert [junk[r.doc_id][:40] for r in got if not r.rejected] == []
+    held = docs.where((x.fold(docs, 3) == 1) & F.col("text").rlike(r"\p{L}"))
+    assert x.predict(held, model).where("rejected").count() <= 0.01 * held.count()
