@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
@@ -20,12 +21,38 @@ def test_encoder_equals_the_library():
     rng = random.Random(1)
     alphabet = [chr(c) for c in [*range(127)] * 2 + [0x85, 0xA0, 0x3000, 0xE9, 0x4E2D, 0x1F600, 0x301, 0x3A3, 0x130, 0x1C]]
     texts = ["", "a<|endoftext|>b <|startoftext|>", *("".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(300))]
-    enc = s.WordEncoder(PATH)
-    tk = Tokenizer.from_file(PATH)
+    same(texts)
+
+
+def same(texts):
+    enc, tk = s.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        got, off = enc(texts)
-        for t, a, b in zip(texts, off[:-1], off[1:]):
-            assert got[a:b].tolist() == [*tk.encode(t, add_special_tokens=False).ids, s.END]
+        got, off = enc(pa.array(texts, pa.string()))
+        wrong = [t for t, w, a, b in zip(texts, want, off[:-1], off[1:]) if got[a:b].tolist() != [*w, s.END]]
+        assert not wrong, wrong[:5]
+
+
+def test_every_letter_and_its_lower_case():
+    """Each character of U+0021 to U+024F and what it becomes in lower case, alone, between and beside letters, digits and signs."""
+    rng = random.Random(2)
+    chars = sorted({x for c in map(chr, range(0x21, 0x250)) for x in (c, *c.lower(), *c.upper())})
+    texts = [t for c in chars for t in (c, f"a{c}b", f"A{c}{c}. {c}'s", f"1{c}'{c}", f"'{c}l'll{c}")]
+    for _ in range(10_000):
+        few = rng.choices(chars, k=6) + list("abeilmstdrv'' ..09<|>")
+        texts.append("".join(rng.choices(few, k=rng.randint(1, 30))))
+    same(texts + ["Ə Ɛ Ɔ Ɓ Ɗ Ɣ Ɩ Ʊ aƐb AZƏRBAYCAN Ǆ ǅ İstanbul ß ẞ it's 'tis we'LL rock'n'roll l'été x" + "y" * 5000])
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(s, "CACHE", 50)
+    monkeypatch.setattr(s, "PIECES", 50)
+    rng = random.Random(3)
+    enc, tk = s.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for n in range(40):
+        texts = [" ".join("".join(rng.choices("abc\u00e9.", k=rng.randint(1, 3 + 60 * (n % 7 == 0)))) for _ in range(30)) for _ in range(3)]
+        got, off = enc(pa.array(texts, pa.string()))
+        assert [got[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [[*tk.encode(t, add_special_tokens=False).ids, s.END] for t in texts]
 
 
 def test_chunks_follow_content():
