@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import vector as v3
+from fieldloom.shared import settle
 
 from .topology import incidence
 
@@ -16,11 +18,13 @@ from .topology import incidence
 SMALL_CLOUD = 4096
 
 
-def recenter(points: DataFrame, cells: DataFrame, field: str, out: str | None = None) -> DataFrame:
-    """node_id and the mean of the incident cells' values, 0 without any."""
+def recenter(points: DataFrame, cells: DataFrame, field: str, out: str | None = None, ncomp: int = 1) -> DataFrame:
+    """node_id and the mean of the incident cells' values, 0 without any; of a field of several components, an array of their means."""
     out = out or f"nodecentered_{field}"
-    got = incidence(cells, field).groupBy("node_id").agg(F.avg(F.col(field).cast("double")).alias("_m"))
-    return points.select("node_id").join(got, "node_id", "left").select("node_id", F.coalesce("_m", F.lit(0.0)).alias(out))
+    part = [F.col(field).cast("double")] if ncomp == 1 else [F.col(field)[k].cast("double") for k in range(ncomp)]
+    got = incidence(cells, field).groupBy("node_id").agg(*(F.avg(p).alias(f"_m{k}") for k, p in enumerate(part)))
+    mean = [F.coalesce(f"_m{k}", F.lit(0.0)) for k in range(ncomp)]
+    return points.select("node_id").join(got, "node_id", "left").select("node_id", (mean[0] if ncomp == 1 else F.array(*mean)).alias(out))
 
 
 def corners(cells: DataFrame, points: DataFrame, n: int, *cols: str) -> DataFrame:
@@ -70,8 +74,10 @@ def distance_field(nodes: DataFrame, cloud: DataFrame, axes: tuple[str, ...] = (
     """nodes with the least Euclidean distance to the cloud (-1 if it is empty); exact.
 
     A cloud of at most SMALL_CLOUD points (counted) is one array that each task folds over. A larger one is binned: each node looks
-    in its bin and the bins around it, and only nodes without a certain answer look again in bins twice as wide.
+    in its bin and the bins around it, and only nodes without a certain answer look again in bins twice as wide. A node without a
+    coordinate has no distance (null); equal rows stay rows of their own; no nodes give no rows.
     """
+    spark = nodes.sparkSession
     n = cloud.count()
     if n == 0:
         return nodes.withColumn(out, F.lit(-1.0))
@@ -83,27 +89,29 @@ def distance_field(nodes: DataFrame, cloud: DataFrame, axes: tuple[str, ...] = (
         return nodes.join(F.broadcast(one)).withColumn(out, F.sqrt(d)).drop("_c")
     r = nodes.agg(*(F.min(a).alias(f"l{a}") for a in axes), *(F.max(a).alias(f"h{a}") for a in axes)).first()
     c = cloud.agg(*(F.min(a).alias(f"l{a}") for a in axes), *(F.max(a).alias(f"h{a}") for a in axes)).first()
+    if any(v is None for v in r):
+        return nodes.withColumn(out, F.lit(None).cast("double"))
     span = max(max(r[f"h{a}"], c[f"h{a}"]) - min(r[f"l{a}"], c[f"l{a}"]) for a in axes) or 1.0
     width = cell or span / max(1.0, n ** (1 / len(axes)))
-    todo, done = nodes, None
-    points = cloud.select(*(F.col(a).cast("double").alias(f"_{a}") for a in axes))
+    # rows are known by a number, so that equal rows stay apart; each round is written down and looks only at what is left
+    rows = settle(spark, nodes.select(F.struct("*").alias("row"), *(F.col(a).cast("double").alias(a) for a in axes)).withColumn("at", F.monotonically_increasing_id()), "nodes")
+    points = cloud.select(*(F.col(a).cast("double").alias(f"c{a}") for a in axes))
+    todo, found = rows.select("at", *axes), []
     while True:
         bins = lambda pre: [F.floor(F.col(pre + a) / width) for a in axes]
-        around = points.withColumn("_k", F.array(*bins("_")))
-        for k in range(len(axes)):  # a point is sent to the bins around its own
-            around = around.withColumn(f"_o{k}", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)])))
-        around = around.select(*(f"_{a}" for a in axes), F.array(*[F.col("_k")[k] + F.col(f"_o{k}") for k in range(len(axes))]).alias("_bin"))
-        j = todo.withColumn("_own", F.array(*bins(""))).join(around, F.col("_own") == F.col("_bin"), "left")
-        d = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0)))
-        got = j.groupBy(*todo.columns).agg(F.min(d).alias(out))
-        if width >= span * 2:
-            return got if done is None else done.unionByName(got)
-        sure = got.where(F.col(out) <= width)
-        done = sure if done is None else done.unionByName(sure)
-        rest = got.where(F.col(out).isNull() | (F.col(out) > width)).drop(out)
-        if rest.isEmpty():
-            return done
-        todo, width = rest, width * 2
+        around = todo
+        for k, b in enumerate(bins("")):  # a node asks its own bin and those around it
+            around = around.withColumn(f"b{k}", F.explode(F.array(*[b + F.lit(o) for o in (-1, 0, 1)])))
+        here = points.withColumns({f"p{k}": b for k, b in enumerate(bins("c"))})
+        near = around.join(here, [F.col(f"b{k}") == F.col(f"p{k}") for k in range(len(axes))])
+        d = F.sqrt(square({a: F.col(a) for a in axes}, {a: F.col(f"c{a}") for a in axes}))
+        got = settle(spark, near.groupBy("at").agg(F.min(d).alias("d")), "near")
+        last = width >= span * 2
+        found.append(got if last else got.where(F.col("d") <= width))
+        if not last:
+            todo, width = settle(spark, todo.join(found[-1], "at", "left_anti"), "todo"), width * 2
+        if last or todo.isEmpty():
+            return rows.join(reduce(DataFrame.union, found), "at", "left").select("row.*", F.col("d").alias(out))
 
 
 def distance_pairs(points: DataFrame, id_col: str, cutoff: float, axes: tuple[str, ...] = ("x", "y", "z"), *carry: str) -> DataFrame:
@@ -177,3 +185,8 @@ def revolve(points: DataFrame, triangles: DataFrame, planes: int, n_points: int)
     nodes = F.concat(F.transform("nodes", lambda n: n + here), F.transform("nodes", lambda n: n + there))
     n_tris = triangles.count()
     return p, t.select((F.col("plane") * n_tris + F.col("cell_id")).cast("long").alias("cell_id"), F.lit(7).alias("shape"), nodes.cast("array<long>").alias("nodes"))
+
+
+def torus_particles(particles: DataFrame) -> DataFrame:
+    """Particles given by r, phi (radians) and z, with x and y; the other columns stay."""
+    return particles.withColumns({"x": F.col("r") * F.cos("phi"), "y": F.col("r") * F.sin("phi")}).drop("r", "phi")

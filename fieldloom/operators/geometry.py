@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom.model import DIMENSION, EDGES, FACES, Shape
 
 from .primitives import dense_ids, scan
-from .topology import SLOTS, incidence, local_table
+from .topology import incidence, local_table, triangles
 
 
 @functools.lru_cache
@@ -83,8 +83,9 @@ def case_rows(shapes: set[int]) -> list[tuple[int, int, int, list[int]]]:
 def cases(cells: DataFrame, points: DataFrame, field: str, value: float) -> DataFrame:
     """cell_id, shape, case_id, n of cells: bit k is set if node k's value is below."""
     below = points.select("node_id", (F.col(field) < value).cast("long").alias("lo"))
-    inc = incidence(cells).join(below, "node_id")
-    return inc.groupBy("cell_id", "shape").agg(F.sum(F.expr("shiftleft(lo, slot)")).alias("case_id"), F.count(F.lit(1)).alias("n"))
+    part = [c for c in ("part",) if c in cells.columns]
+    inc = incidence(cells, *part).join(below, "node_id")
+    return inc.groupBy("cell_id", *part, "shape").agg(F.sum(F.expr("shiftleft(lo, slot)")).alias("case_id"), F.count(F.lit(1)).alias("n"))
 
 
 def isosurface(points: DataFrame, cells: DataFrame, field: str, value: float, nodal: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -93,13 +94,23 @@ def isosurface(points: DataFrame, cells: DataFrame, field: str, value: float, no
     points: point_id, a, b (edge's nodes), alpha, and each of `nodal` (coordinates and fields) between its ends.
     cells: cell_id (of the input), sub, shape (point, beam or triangle), nodes (point ids), and the input cells' columns `carry`.
     Only cells that the surface crosses are looked at after the first grouping; the case table is broadcast (at most 256 cases a shape).
+    Polygons and strips are cut by their triangles (sub counts these), points are never crossed, cells of unknown shape raise.
     """
     spark = cells.sparkSession
-    have = {r.shape for r in cells.select("shape").distinct().collect()} & {int(s) for s in EDGES}
+    shapes = {r.shape for r in cells.select("shape").distinct().collect()}
+    if int(Shape.OTHER) in shapes:
+        raise ValueError("a cell of unknown shape has no surface")
+    have = shapes & {int(s) for s in EDGES}
+    fans = shapes & {int(Shape.POLYGON), int(Shape.TRISTRIP)}
+    cells = cells.withColumn("part", F.lit(0))
+    if fans:
+        flat = triangles(cells.where(F.col("shape").isin(*fans))).select(F.col("cell_id").alias("of"), F.col("sub").alias("part"), F.col("nodes").alias("three"))
+        flat = cells.drop("part").join(flat, F.col("cell_id") == F.col("of")).withColumns({"shape": F.lit(int(Shape.TRI)), "nodes": F.col("three")}).drop("of", "three")
+        cells, have = cells.where(~F.col("shape").isin(*fans)).unionByName(flat), have | {int(Shape.TRI)}
     table = F.broadcast(spark.createDataFrame(case_rows(have), "shape int, case_id long, sub int, local array<int>"))
-    crossed = cases(cells, points, field, value).where("case_id > 0 and case_id < shiftleft(1L, int(n)) - 1").select("cell_id", "case_id")
-    mixed = cells.join(crossed, "cell_id")
-    pieces = mixed.join(table, ["shape", "case_id"]).select("cell_id", "sub", "shape", "nodes", F.posexplode("local").alias("at", "edge"), *carry)
+    crossed = cases(cells, points, field, value).where("case_id > 0 and case_id < shiftleft(1L, int(n)) - 1").select("cell_id", "part", "case_id")
+    mixed = cells.join(crossed, ["cell_id", "part"])
+    pieces = mixed.join(table, ["shape", "case_id"]).select("cell_id", (F.col("part") + F.col("sub")).alias("sub"), "shape", "nodes", F.posexplode("local").alias("at", "edge"), *carry)
     e = local_table(EDGES, F.col("shape"))[F.col("edge")]
     p, q = F.col("nodes")[e[0]], F.col("nodes")[e[1]]
     pieces = pieces.select("cell_id", "sub", "at", F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), *carry)
@@ -186,4 +197,4 @@ def graph_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 100, start: f
     return spark.createDataFrame(place.rename(columns={"x": "newx", "y": "newy"}))
 
 
-__all__ = ["SLOTS", "case_table", "cases", "graph_layout", "isosurface", "tessellate"]
+__all__ = ["case_table", "cases", "graph_layout", "isosurface", "tessellate"]

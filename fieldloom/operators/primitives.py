@@ -8,10 +8,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in a block of a scan.
-BLOCK = 1 << 16
-
-
+from fieldloom.shared import settle
 def binary(op: str, *cols: Column) -> Column:
     """add, sub, mul, div (null at a zero divisor), max, min over two or more columns; computed in double."""
     c = [x.cast("double") for x in cols]
@@ -85,23 +82,46 @@ def reverse_index(df: DataFrame, count: str, out: str = "sub") -> DataFrame:
     return df.where(F.col(count) > 0).withColumn(out, F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)))
 
 
-def scan(df: DataFrame, id_col: str, value: str, inclusive: bool = True, out: str = "scan", block: int = BLOCK) -> DataFrame:
-    """Running sum by id, in two levels: sums of blocks of ids are put in order, and each block is summed by itself."""
-    df = df.withColumn("_b", F.floor(F.col(id_col) / block))
-    sums = df.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_b", before.alias("_before"))
-    frame = Window.partitionBy("_b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn("_w", F.coalesce(F.sum(value).over(frame), F.lit(0))).join(sums, "_b").withColumn(out, F.col("_before") + F.col("_w")).drop("_b", "_w", "_before")
+#: Bits of a row's number inside its partition in _ORDER.
+_INSIDE, _ORDER = 33, "place_in_order"
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df range-partitioned and sorted by the keys (nulls first) and written down, with each row's partition and place in it as one number.
+
+    Ranges come from a sample, so neither sparse nor uneven keys make a large one; rows that repeat all keys share one.
+    """
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    return settle(df.sparkSession, df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_ORDER, F.monotonically_increasing_id()), "ordered")
+
+
+def _before(ordered: DataFrame, value: Column) -> DataFrame:
+    """(part, before): the sum of value over all partitions before; one row a partition, so it may be sent everywhere."""
+    part = F.shiftright(_ORDER, _INSIDE).cast("int")
+    sums = sorted(ordered.groupBy(part.alias("part")).agg(value.alias("s")).collect())
+    kind = dict(ordered.agg(value.alias("s")).dtypes)["s"]
+    out, total = [], None
+    for r in sums:
+        out.append((r.part, total))
+        total = r.s if total is None else total if r.s is None else total + r.s
+    return F.broadcast(ordered.sparkSession.createDataFrame(out, f"part int, before {kind}"))
+
 
+def scan(df: DataFrame, id_col: str, value: str, inclusive: bool = True, out: str = "scan") -> DataFrame:
+    """Running sum by id (nulls count as 0; of equal ids one comes first): ranges of ids are summed, put in order, and each is summed by itself."""
+    ordered = in_order(df, id_col).withColumn("part", F.shiftright(_ORDER, _INSIDE).cast("int"))
+    frame = Window.partitionBy("part").orderBy(_ORDER).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    zero = F.lit(0)
+    own = ordered.withColumn(out, F.coalesce(F.sum(value).over(frame), zero)).join(_before(ordered, F.sum(value)), "part")
+    return own.withColumn(out, F.col(out) + F.coalesce("before", zero)).drop("part", "before", _ORDER)
 
-def dense_ids(df: DataFrame, key: str, *then: str, out: str = "id", block: int = BLOCK) -> DataFrame:
-    """Number rows 0.. in the order of a non-negative integer key (and further columns), in two levels."""
-    df = df.withColumn("_b", F.floor(F.col(key) / block))
-    sums = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    row = F.row_number().over(Window.partitionBy("_b").orderBy(key, *then))
-    return df.withColumn("_r", row).join(sums.select("_b", before.alias("_before")), "_b").withColumn(out, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_before")
+
+def dense_ids(df: DataFrame, *keys: str, out: str = "id") -> DataFrame:
+    """Number rows 0.. in the order of the keys: each row's place in its range, after the sizes of the ranges before."""
+    ordered = in_order(df, *keys)
+    own = ordered.withColumn("part", F.shiftright(_ORDER, _INSIDE).cast("int")).join(_before(ordered, F.count(F.lit(1))), "part")
+    inside = F.col(_ORDER).bitwiseAND(F.lit((1 << _INSIDE) - 1))
+    return own.withColumn(out, F.coalesce("before", F.lit(0)) + inside).drop("part", "before", _ORDER)
 
 
 def compact(df: DataFrame, flag: Column, id_col: str, out: str = "dense") -> DataFrame:
@@ -110,15 +130,23 @@ def compact(df: DataFrame, flag: Column, id_col: str, out: str = "dense") -> Dat
 
 
 def argsort(df: DataFrame, key: str, id_col: str, out: str = "rank") -> DataFrame:
-    """Rank of each row by (key, id); the range-partitioned sort is Spark's, numbers come from sizes of the key's values."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    row = F.row_number().over(Window.partitionBy(key).orderBy(id_col))
-    return df.withColumn("_r", row).join(sums_of(sizes, key, before), key).withColumn(out, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_r", "_before")
-
-
-def sums_of(sizes: DataFrame, key: str, before: Column) -> DataFrame:
-    return sizes.select(key, before.alias("_before"))
+    """Rank of each row by (key, id), by one range-partitioned sort; a key that many rows have is cut by the id."""
+    return dense_ids(df, key, id_col, out=out)
+
+
+def reduce_with(df: DataFrame, value: str, merge: Callable[[Column, Column], Column], identity, rows: int = 10_000):
+    """merge folded over a column from an identity, for an associative and commutative merge: blocks of rows fold by themselves, then their results."""
+    kind = df.schema[value].dataType
+    start = F.lit(identity).cast(kind)
+    fold_ = lambda c: F.aggregate(c, start, lambda a, x: merge(a, x).cast(kind))
+    parts = df.select(value)
+    while True:
+        n = parts.count()
+        if n <= rows:
+            return parts.agg(fold_(F.collect_list(value)).alias(value)).first()[0]
+        blocks = -(-n // rows)
+        parts = parts.withColumn("b", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+        parts = settle(df.sparkSession, parts.groupBy("b").agg(fold_(F.collect_list(value)).alias(value)).select(value), "folded")
 
 
 def stencil3x3(nodes: DataFrame, value: str, nx: int, ny: int, border: bool = False, out: str = "average") -> DataFrame:

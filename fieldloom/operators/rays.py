@@ -15,7 +15,9 @@ from fieldloom.functions import vector as v3
 from fieldloom.shared import settle
 
 #: Primitives that may go to every task; more are met by bins. Distance beyond which nothing is hit.
-SMALL, FAR, EPS = 4096, 1e6, 1e-9
+SMALL, FAR, EPS = 256, 1e6, 1e-9
+#: Bins an axis at most.
+BINS = 1024
 
 
 def camera_rays(spark: SparkSession, w: int, h: int, eye, look, dx, dy) -> DataFrame:
@@ -52,7 +54,7 @@ def candidates(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, s
         return rays.join(F.broadcast(prims))
     boxes = _boxes(prims, kind)
     ext = prims.agg(*(F.min(lo).alias(f"l{a}") for (lo, _), a in zip(boxes, "xyz")), *(F.max(hi).alias(f"h{a}") for (_, hi), a in zip(boxes, "xyz"))).first()
-    nb = int(min(128, max(4, round(n ** (1 / 3)))))
+    nb = int(min(BINS, max(4, round(n ** (1 / 3)))))
     low = [ext[f"l{a}"] for a in "xyz"]
     width = [max((ext[f"h{a}"] - ext[f"l{a}"]) / nb, 1e-12) for a in "xyz"]
     cell = lambda c, k: F.least(F.greatest(F.floor((c - low[k]) / width[k]), F.lit(-1)), F.lit(nb)).cast("int")
@@ -65,7 +67,7 @@ def candidates(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, s
     r = rays.withColumn("_m", major).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     pick = lambda v: F.when(F.col("_m") == 0, v[0]).when(F.col("_m") == 1, v[1]).otherwise(v[2])
     edge = pick([F.lit(x) for x in low]) + F.col("_k") * pick([F.lit(x) for x in width])
-    t1, t2 = (edge - pick(o)) / pick(d), (edge + pick([F.lit(x) for x in width]) - pick(o)) / pick(d)
+    t1, t2 = F.try_divide(edge - pick(o), pick(d)), F.try_divide(edge + pick([F.lit(x) for x in width]) - pick(o), pick(d))  # a ray without direction meets nothing
     r = r.withColumn("_t0", F.greatest(F.least(t1, t2), F.lit(0.0))).withColumn("_t1", F.least(F.greatest(t1, t2), F.lit(far))).where("_t1 >= _t0")
     for k in range(3):
         a, b = o[k] + d[k] * F.col("_t0"), o[k] + d[k] * F.col("_t1")
@@ -286,20 +288,36 @@ def gaussian_opacity(s: Column, center: float = 0.5, sigma: float = 0.13, scale:
     return scale * F.exp(-(s - center) * (s - center) / (2 * sigma * sigma))
 
 
-def composite(samples: DataFrame, keys: list[str], depth: str, value: str, alpha: Column) -> DataFrame:
-    """keys, color, opacity: back-to-front (largest depth first) blend of the value by alpha; a pixel has at most as many samples as the lattice is deep."""
-    rows = samples.select(*keys, F.struct((-F.col(depth)).alias("z"), F.col(value).cast("double").alias("v"), alpha.alias("a")).alias("q"))
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("q")).alias("qs"))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("o"))
-    blend = F.aggregate("qs", start, lambda acc, q: F.struct((acc["c"] * (1 - q["a"]) + q["v"] * q["a"]).alias("c"), (acc["o"] * (1 - q["a"]) + q["a"]).alias("o")))
-    return lists.select(*keys, blend.alias("b")).select(*keys, F.col("b.c").alias("color"), F.col("b.o").alias("opacity"))
+def composite(samples: DataFrame, keys: list[str], depth: str, value: str, alpha: Column, slab: int = 256) -> DataFrame:
+    """keys, color, opacity: back-to-front (largest depth first) blend of the value by alpha.
 
-
-def z_composite(images: DataFrame, pixel: str, z: str, *values: str) -> DataFrame:
-    """Per pixel the values at the least depth; equal depths are averaged."""
-    low = images.groupBy(pixel).agg(F.min(z).alias("_z"))
-    j = images.join(low.withColumnRenamed(pixel, "_p"), (F.col(pixel) == F.col("_p")) & (F.col(z) == F.col("_z")))
-    return j.groupBy(pixel).agg(F.first("_z").alias(z), *(F.avg(F.col(v).cast("double")).alias(v) for v in values))
+    Blending is associative, so slabs of `slab` units of depth blend by themselves, and then their results do, slab by slab of
+    them, until a pixel has one: no list holds more than the samples of one slab.
+    """
+    q = F.struct((-F.col(depth)).cast("double").alias("z"), (F.col(value).cast("double") * alpha).alias("c"), alpha.alias("a"))
+    r = samples.agg(F.min(depth).alias("lo"), F.max(depth).alias("hi")).first()
+    first, top = (r.lo, int((r.hi - r.lo) // slab)) if r.lo is not None else (0, 0)
+    rows = samples.select(*keys, q.alias("q"), F.floor((F.col(depth) - F.lit(first)) / slab).cast("long").alias("slab"))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
+    # a layer in front: its color, and what it lets through of what is behind
+    over = lambda acc, q: F.struct((acc["c"] * (1 - q["a"]) + q["c"]).alias("c"), (acc["a"] * (1 - q["a"]) + q["a"]).alias("a"))
+    while True:
+        rows = rows.groupBy(*keys, "slab").agg(F.aggregate(F.array_sort(F.collect_list("q")), start, over).alias("b"))
+        if not top:
+            return rows.select(*keys, F.col("b.c").alias("color"), F.col("b.a").alias("opacity"))
+        rows = rows.select(*keys, F.struct((-F.col("slab")).cast("double").alias("z"), F.col("b.c").alias("c"), F.col("b.a").alias("a")).alias("q"), F.floor(F.col("slab") / slab).cast("long").alias("slab"))
+        top //= slab
+
+
+def z_composite(images: DataFrame, pixel: str, z: str, *values: str, background: tuple | None = None) -> DataFrame:
+    """Per pixel the values at the least depth; equal depths are averaged, without those of the background color unless all have it."""
+    vals = F.struct(*(F.col(v).cast("double").alias(v) for v in values))
+    plain = F.lit(False) if background is None else F.struct(*(F.col(v).cast("double") for v in values)) == F.struct(*(F.lit(float(b)) for b in background))
+    # first sums for each depth, then the least depth's, so that each image is shuffled as partial sums
+    sums = [F.sum(F.col("v")[v]).alias(v) for v in values]
+    level = images.select(pixel, F.col(z), plain.cast("int").alias("far"), vals.alias("v")).groupBy(pixel, z, "far").agg(*sums, F.count(F.lit(1)).alias("n"))
+    best = level.groupBy(pixel).agg(F.min(F.struct(z, "far", "n", *values)).alias("m"))
+    return best.select(pixel, F.col(f"m.{z}").alias(z), *((F.col(f"m.{v}") / F.col("m.n")).alias(v) for v in values))
 
 
 def quadtree_values(points: DataFrame, leaves: DataFrame, level: int) -> DataFrame:

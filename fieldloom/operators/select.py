@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .topology import SLOTS, cell_faces, incidence
+from .topology import cell_faces, incidence
 
 
 def threshold_cells(cells: DataFrame, field: str, low: float, high: float) -> DataFrame:
@@ -41,5 +41,5 @@ def selection(cells: DataFrame, field: str, values: DataFrame, value: str) -> Da
 def external_faces(cells: DataFrame, *carry: str) -> DataFrame:
     """cell_id (the owner), slot, nodes of faces that one cell alone has, with the owner's fields."""
     g = cell_faces(cells).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cell_id", "slot", "nodes")).alias("f"))
-    out = g.where("n = 1").select((F.col("f.cell_id") * SLOTS + F.col("f.slot")).alias("face_key"), "f.*")
+    out = g.where("n = 1").select("f.*")
     return out.join(cells.select("cell_id", *carry), "cell_id") if carry else out

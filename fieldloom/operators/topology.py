@@ -9,10 +9,6 @@ from fieldloom.model import EDGES, FACES, TETS
 
 from .primitives import dense_ids
 
-#: Local edges, faces and nodes of a shape are numbered below this.
-SLOTS = 64
-
-
 def incidence(cells: DataFrame, *carry: str) -> DataFrame:
     """cell_id, slot, node_id, shape: a row for each node of each cell."""
     return cells.select("cell_id", F.posexplode("nodes").alias("slot", "node_id"), "shape", *carry)
@@ -38,8 +34,8 @@ def cell_edges(cells: DataFrame) -> DataFrame:
 
 def edges(cells: DataFrame) -> DataFrame:
     """edge_id, a, b: numbered by first appearance in cell order, then local order."""
-    first = cell_edges(cells).groupBy("a", "b").agg(F.min(F.col("cell_id") * SLOTS + F.col("slot")).alias("first"))
-    return dense_ids(first, "first", out="edge_id").select("edge_id", "a", "b")
+    first = cell_edges(cells).groupBy("a", "b").agg(F.min(F.struct("cell_id", "slot")).alias("f"))
+    return dense_ids(first.select("a", "b", "f.*"), "cell_id", "slot", out="edge_id").select("edge_id", "a", "b")
 
 
 def cell_faces(cells: DataFrame) -> DataFrame:
@@ -51,9 +47,8 @@ def cell_faces(cells: DataFrame) -> DataFrame:
 
 def faces(cells: DataFrame) -> DataFrame:
     """face_id, nodes (as the first cell has them), n_cells: numbered by first appearance."""
-    order = (F.col("cell_id") * SLOTS + F.col("slot")).alias("first")
-    g = cell_faces(cells).groupBy("key").agg(F.min(F.struct(order, "nodes")).alias("m"), F.count(F.lit(1)).alias("n_cells"))
-    return dense_ids(g.select("m.first", "m.nodes", "n_cells"), "first", out="face_id").select("face_id", "nodes", "n_cells")
+    g = cell_faces(cells).groupBy("key").agg(F.min(F.struct("cell_id", "slot", "nodes")).alias("m"), F.count(F.lit(1)).alias("n_cells"))
+    return dense_ids(g.select("m.*", "n_cells"), "cell_id", "slot", out="face_id").select("face_id", "nodes", "n_cells")
 
 
 def node_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -66,13 +61,13 @@ def topology_map(conn: DataFrame, source: DataFrame | None, aggs: dict[str, Colu
     """One map for all families. conn: dst_id, src_id (incidence in either direction), other columns free.
 
     source (src_id, ...): aggregates run over the rows met; None: over conn alone (destination and info maps).
-    dst (dst_id, ...): columns joined to each destination before aggregating (combined maps).
+    dst (dst_id, ...): columns joined to each destination before aggregating (combined maps); with an index it may be dense (dense_id, ...).
     index (dense_id, dst_id): only these destinations, keyed by dense_id in the result (gather, packed); with out given,
     results are put back by dst_id and other rows of out keep their values (scatter, sparse).
     """
     rows = conn if index is None else conn.join(index, "dst_id")
     if dst is not None:
-        rows = rows.join(dst, "dst_id")
+        rows = rows.join(dst, "dense_id" if "dense_id" in dst.columns else "dst_id")
     if source is not None:
         rows = rows.join(source, "src_id")
     key = "dst_id" if index is None or out is not None else "dense_id"

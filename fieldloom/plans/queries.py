@@ -52,7 +52,7 @@ RAYS = """
 r0 AS (SELECT r AS ray_id, 0.05 * ((2 * (r % 40) - 40) / 2.0) AS x, 0.05 * ((2 * (r // 40) - 30) / 2.0) AS y FROM (SELECT unnest(range(1200)) AS r)),
 rays AS (SELECT ray_id, 5.0::DOUBLE AS ox, 5.0::DOUBLE AS oy, (-5.0)::DOUBLE AS oz, x::DOUBLE / sqrt(x * x + y * y + 1.0) AS dx, y::DOUBLE / sqrt(x * x + y * y + 1.0) AS dy, 1.0 / sqrt(x * x + y * y + 1.0) AS dz FROM r0)"""
 TRIS = """
-t0 AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS ax, CAST((p_partkey // 10) % 10 AS DOUBLE) AS ay, 5 + p_size / 10.0::DOUBLE AS az FROM part WHERE p_partkey < 200),
+t0 AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS ax, CAST((p_partkey // 10) % 10 AS DOUBLE) AS ay, 5 + p_size / 10.0::DOUBLE AS az FROM part),
 tris AS (SELECT *, ax + 0.9::DOUBLE AS bx, ay AS by_, az + 0.1::DOUBLE AS bz, ax AS cx, ay + 0.9::DOUBLE AS cy, az + 0.2::DOUBLE AS cz FROM t0)"""
 
 
@@ -242,6 +242,34 @@ for _name, _agg, _sqlagg in (("topo_scatter", "avg", "round(avg(v), 4)"), ("topo
         lambda t, agg=_agg: (lambda grid, src, conn: tp.topology_map(conn, src, {"v": F.round(getattr(F, agg)("v"), 4)}, index=_index(t), out=t.spark.range(grid.n_cells).select(F.col("id").alias("dst_id"), F.lit(-1.0).alias("v"))))(*_conn2(t))
     )
 
+# the other families with an index: w is the destination's own value, by cell (gather, sparse) or dense (packed, scatter)
+_FAMILIES = {
+    "combined": (lambda: F.round(F.max("v") - F.max("w"), 4), "round(max(v) - max(w), 4)", True, True),
+    "destination": (lambda: F.max("w") * 2 + F.count(F.lit(1)), "max(w) * 2 + count(*)", False, True),
+    "info": (lambda: F.max("shape") * 100.0 + F.count(F.lit(1)), "4 * 100.0::DOUBLE + count(*)", False, False),
+}
+
+
+def _indexed(family: str, form: str):
+    agg, sql, with_source, with_dst = _FAMILIES[family]
+    dense, back = form in ("packed", "scatter"), form in ("scatter", "sparse")
+    w = "CAST(dense_id % 30 AS DOUBLE)" if dense else "CAST(cell_id % 50 AS DOUBLE)"
+    got = f"WITH {G2}, {IX}, got AS (SELECT dense_id, cell_id, {sql} AS v FROM (SELECT ix.*, node_id, {w} AS w{', v' if with_source else ''} FROM ix JOIN g2i USING (cell_id){' JOIN g2n USING (node_id)' if with_source else ''}) GROUP BY 1, 2)"
+
+    def run(t):
+        grid, src, conn = _conn2(t)
+        index = _index(t)
+        dst = index.select("dense_id", (F.col("dense_id") % 30).cast("double").alias("w")) if dense else t.spark.range(grid.n_cells).select(F.col("id").alias("dst_id"), (F.col("id") % 50).cast("double").alias("w"))
+        out = t.spark.range(grid.n_cells).select(F.col("id").alias("dst_id"), F.lit(-1.0).alias("v")) if back else None
+        return tp.topology_map(conn, src if with_source else None, {"v": agg()}, index=index, dst=dst if with_dst else None, out=out)
+
+    query(got + (" SELECT c.cell_id AS dst_id, coalesce(got.v, -1.0) AS v FROM g2c c LEFT JOIN got USING (cell_id)" if back else " SELECT dense_id, v FROM got"), f"topo_{family}_{form}")(run)
+
+
+for _family in _FAMILIES:
+    for _form in ("gather", "packed", "scatter", "sparse"):
+        _indexed(_family, _form)
+
 _G3E = f"""WITH {G3}, ex AS (SELECT e AS edge_id, e % 9 + 10 * (e // 9) AS a, 1 AS d FROM (SELECT unnest(range(90 * (SELECT nz FROM g3d))) AS e)),
 ey AS (SELECT e + 90 * nz AS edge_id, e % 10 + 10 * ((e // 10) % 9) + 100 * (e // 90) AS a, 10 AS d FROM (SELECT nz, unnest(range(90 * nz)) AS e FROM g3d)),
 ez AS (SELECT e + 180 * nz AS edge_id, e AS a, 100 AS d FROM (SELECT nz, unnest(range(100 * (nz - 1))) AS e FROM g3d)),
@@ -579,15 +607,15 @@ def graph_layout(t):
 def revolve_points(t):
     n = t.supplier.count()
     points = t.supplier.select(F.col("s_suppkey").cast("long").alias("node_id"), (F.col("s_suppkey") % 10 + 2.0).alias("r"), F.col("s_nationkey").cast("double").alias("z"))
-    tris = t.spark.range(3).select(F.col("id").alias("cell_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("nodes"))
+    tris = t.spark.range(n - 2).select(F.col("id").alias("cell_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("nodes"))
     return cp.revolve(points, tris, 8, n)[0].select("node_id", r6("x").alias("x"), r6("y").alias("y"), "z")
 
 
-@query("SELECT p * 5 + c AS cell_id, p * n + c AS n0, ((p + 1) % 8) * n + c + 2 AS n5 FROM (SELECT count(*) AS n FROM supplier), (SELECT unnest(range(8)) AS p), (SELECT unnest(range(5)) AS c)")
+@query("SELECT p * (n - 2) + c AS cell_id, p * n + c AS n0, ((p + 1) % 8) * n + c + 2 AS n5 FROM (SELECT n, unnest(range(n - 2)) AS c FROM (SELECT count(*) AS n FROM supplier)), (SELECT unnest(range(8)) AS p)")
 def revolve_wedges(t):
     n = t.supplier.count()
     points = t.supplier.select(F.col("s_suppkey").cast("long").alias("node_id"), F.lit(1.0).alias("r"), F.lit(0.0).alias("z"))
-    tris = t.spark.range(5).select(F.col("id").alias("cell_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("nodes"))
+    tris = t.spark.range(n - 2).select(F.col("id").alias("cell_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("nodes"))
     return cp.revolve(points, tris, 8, n)[1].select("cell_id", F.col("nodes")[0].alias("n0"), F.col("nodes")[5].alias("n5"))
 
 
@@ -614,7 +642,7 @@ def _ray_hits(t, small):
 query(_HITS, "ray_hits")(lambda t: _ray_hits(t, ry.SMALL))
 query(_HITS, "ray_hits_binned")(lambda t: _ray_hits(t, 0))
 
-_SPH = "sph AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS cx, CAST((p_partkey // 10) * 2 AS DOUBLE) AS cy, 4 + p_size / 10.0::DOUBLE AS cz, 0.2::DOUBLE + (p_partkey % 5) / 10.0::DOUBLE AS r FROM part WHERE p_partkey < 50)"
+_SPH = "sph AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS cx, CAST((p_partkey // 10) * 2 AS DOUBLE) AS cy, 4 + p_size / 10.0::DOUBLE AS cz, 0.2::DOUBLE + (p_partkey % 5) / 10.0::DOUBLE AS r FROM part)"
 
 
 @query(f"""WITH {RAYS}, {_SPH}, a AS (SELECT *, (cx - ox) * dx + (cy - oy) * dy + (cz - oz) * dz AS b, (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) + (cz - oz) * (cz - oz) AS l2 FROM rays, sph),
@@ -624,7 +652,7 @@ def ray_spheres(t):
     return ry.nearest(_rays(t), {"sphere": t.spheres()}).select("ray_id", "idx", F.round("dist", 5).alias("dist"))
 
 
-_CYL = "cyl AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS bx, CAST((p_partkey // 10) * 2 AS DOUBLE) AS by_, 4 + p_size / 10.0::DOUBLE AS bz, 0.6::DOUBLE AS ax, 0.8::DOUBLE AS ay, 0.0::DOUBLE AS az, 1.5::DOUBLE AS h, 0.25::DOUBLE AS r FROM part WHERE p_partkey < 50)"
+_CYL = "cyl AS (SELECT p_partkey AS idx, CAST(p_partkey % 10 AS DOUBLE) AS bx, CAST((p_partkey // 10) * 2 AS DOUBLE) AS by_, 4 + p_size / 10.0::DOUBLE AS bz, 0.6::DOUBLE AS ax, 0.8::DOUBLE AS ay, 0.0::DOUBLE AS az, 1.5::DOUBLE AS h, 0.25::DOUBLE AS r FROM part)"
 
 
 @query(f"""WITH {RAYS}, {_CYL}, a AS (SELECT *, dx * ax + dy * ay + dz * az AS da, (ox - bx) * ax + (oy - by_) * ay + (oz - bz) * az AS ra FROM rays, cyl),
@@ -699,24 +727,25 @@ def volume_composite(t):
 
 def _tets(t):
     _, points, cells = t.g3()
-    tets = tp.tetrahedra(cells.where("cell_id < 162")).select((F.col("cell_id") * 5 + F.col("sub")).alias("cell_id"), F.lit(int(Shape.TET)).alias("shape"), "nodes")
+    tets = tp.tetrahedra(cells).select((F.col("cell_id") * 5 + F.col("sub")).alias("cell_id"), F.lit(int(Shape.TET)).alias("shape"), "nodes")
     p = points.select("node_id", (F.col("i") * 3.1 + 0.05).alias("x"), (F.col("j") * 2.9 + 0.03).alias("y"), (F.col("k") * 4.3 + 0.01).alias("z"), F.col("v").alias("s"))
     return cp.corners(tets, p, 4, "x", "y", "z", "s")
 
 
 _DET = "(({q}x - {o}x) * (({r}y - {o}y) * ({s}z - {o}z) - ({r}z - {o}z) * ({s}y - {o}y)) + ({q}y - {o}y) * (({r}z - {o}z) * ({s}x - {o}x) - ({r}x - {o}x) * ({s}z - {o}z)) + ({q}z - {o}z) * (({r}x - {o}x) * ({s}y - {o}y) - ({r}y - {o}y) * ({s}x - {o}x)))"
 _D = lambda o, q, r, s: _DET.format(o=o, q=q, r=r, s=s)
+_LO, _HI = "CAST(greatest(ceil(least(p0{a}, p1{a}, p2{a}, p3{a})), 0) AS BIGINT)", "CAST(least(floor(greatest(p0{a}, p1{a}, p2{a}, p3{a})), {n} - 1) AS BIGINT) + 1"
 _PIV = ", ".join(f"max(CASE WHEN n = {k} THEN {c} END) AS p{k}{c}" for k in range(4) for c in "xyzs")
 
 
 @query(f"""WITH {G3}, np AS (SELECT node_id, i * 3.1::DOUBLE + 0.05::DOUBLE AS x, j * 2.9::DOUBLE + 0.03::DOUBLE AS y, k * 4.3::DOUBLE + 0.01::DOUBLE AS z, v AS s FROM g3n),
-tt AS (SELECT cell_id * 5 + sub AS cell_id, {_PIV} FROM {_TN} JOIN g3i x ON x.slot = l.vox JOIN np USING (node_id) WHERE cell_id < 162 GROUP BY 1),
-la AS (SELECT cell_id, p0x, p0y, p0z, p1x, p1y, p1z, p2x, p2y, p2z, p3x, p3y, p3z, p0s, p1s, p2s, p3s, CAST(a AS DOUBLE) AS ptx, CAST(b AS DOUBLE) AS pty, CAST(c AS DOUBLE) AS ptz FROM tt, (SELECT unnest(range(30)) AS a), (SELECT unnest(range(30)) AS b), (SELECT unnest(range(10)) AS c)
-WHERE a BETWEEN least(p0x, p1x, p2x, p3x) AND greatest(p0x, p1x, p2x, p3x) AND b BETWEEN least(p0y, p1y, p2y, p3y) AND greatest(p0y, p1y, p2y, p3y) AND c BETWEEN least(p0z, p1z, p2z, p3z) AND greatest(p0z, p1z, p2z, p3z)),
+tt AS (SELECT cell_id * 5 + sub AS cell_id, {_PIV} FROM {_TN} JOIN g3i x ON x.slot = l.vox JOIN np USING (node_id) GROUP BY 1),
+lx AS (SELECT *, unnest(range({_LO.format(a="x")}, {_HI.format(a="x", n=30)})) AS a FROM tt), ly AS (SELECT *, unnest(range({_LO.format(a="y")}, {_HI.format(a="y", n=30)})) AS b FROM lx), lz AS (SELECT *, unnest(range({_LO.format(a="z")}, {_HI.format(a="z", n=1000)})) AS c FROM ly),
+la AS (SELECT *, CAST(a AS DOUBLE) AS ptx, CAST(b AS DOUBLE) AS pty, CAST(c AS DOUBLE) AS ptz FROM lz),
 bw AS (SELECT *, {_D('pt', 'p1', 'p2', 'p3')} / {_D('p0', 'p1', 'p2', 'p3')} AS w0, -{_D('pt', 'p0', 'p2', 'p3')} / {_D('p0', 'p1', 'p2', 'p3')} AS w1, {_D('pt', 'p0', 'p1', 'p3')} / {_D('p0', 'p1', 'p2', 'p3')} AS w2, -{_D('pt', 'p0', 'p1', 'p2')} / {_D('p0', 'p1', 'p2', 'p3')} AS w3 FROM la)
 SELECT CAST(ptx AS INTEGER) AS x, CAST(pty AS INTEGER) AS y, CAST(ptz AS INTEGER) AS z, round(arg_min(w0 * p0s + w1 * p1s + w2 * p2s + w3 * p3s, cell_id), 4) AS s FROM bw WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0 AND w3 >= 0 GROUP BY 1, 2, 3""")
 def volume_sample(t):
-    return ry.sample_tets(_tets(t), 30, 30, 10).select("x", "y", "z", F.round("s", 4).alias("s"))
+    return ry.sample_tets(_tets(t), 30, 30, 1000).select("x", "y", "z", F.round("s", 4).alias("s"))
 
 
 @query("SELECT p_partkey, CAST(list_sum([(((k[1] >> b) & 1) << (3 * b)) + (((k[2] >> b) & 1) << (3 * b + 1)) + (((k[3] >> b) & 1) << (3 * b + 2)) for b in range(10)]) AS BIGINT) AS morton FROM (SELECT p_partkey, [p_partkey % 1024, CAST(p_size AS BIGINT), p_partkey // 7 % 1024] AS k FROM part)")
@@ -798,3 +827,60 @@ def atom_pipeline(t: Tables, size: int = 40, value: float = 4.0) -> DataFrame:
 
 
 query(None, "atom_pipeline")(atom_pipeline)
+
+
+# --- more of the primitives, fields and images -----------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity + l_discount + l_tax AS value FROM lineitem")
+def map_zip3(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", pr.binary("add", F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("value"))
+
+
+@query("SELECT CAST(bit_xor(o_orderkey) AS BIGINT) AS folded FROM orders")
+def reduce_custom(t):
+    """A fold with a merge and an identity of one's own."""
+    x = pr.reduce_with(t.orders.select(F.col("o_orderkey").cast("long").alias("v")), "v", lambda a, b: a.bitwiseXOR(b), 0)
+    return t.spark.createDataFrame([(x,)], "folded long")
+
+
+@query(f"WITH {GRAPH} SELECT n.node_id, round(coalesce(avg(x.cents), 0), 4) AS v0, round(coalesce(avg(x.cents * 2), 0), 4) AS v1, round(coalesce(avg(x.cell_id % 7), 0), 4) AS v2 FROM grn n LEFT JOIN (SELECT a AS node_id, cents, cell_id FROM gr UNION ALL SELECT b, cents, cell_id FROM gr) x USING (node_id) GROUP BY 1")
+def recenter_vector(t):
+    points, cells = t.graph()
+    c = F.col("cents")
+    got = cp.recenter(points, cells.withColumn("w", F.array(c.cast("double"), c * 2.0, (F.col("cell_id") % 7).cast("double"))), "w", "w", ncomp=3)
+    return got.select("node_id", *(F.round(F.col("w")[k], 4).alias(f"v{k}") for k in range(3)))
+
+
+@query("SELECT pixel, min(z) AS z, round(coalesce(avg(v) FILTER (WHERE v <> 0), 0), 6) AS value FROM (SELECT *, min(z) OVER (PARTITION BY pixel) AS m FROM (SELECT user_id % 50 AS pixel, CAST(event_id % 17 AS DOUBLE) AS z, CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END AS v FROM events)) WHERE z = m GROUP BY 1")
+def z_composite_background(t):
+    """Of equal depths, the background color gives way."""
+    k = F.col("event_id")
+    e = t.events.select((F.col("user_id") % 50).alias("pixel"), (k % 17).cast("double").alias("z"), F.when(k % 3 == 0, 0.0).otherwise(F.col("value")).alias("value"))
+    return ry.z_composite(e, "pixel", "z", "value", background=(0.0,)).select("pixel", "z", r6("value").alias("value"))
+
+
+def _nearest_sql(table, c: int) -> str:
+    out = repr(float(table[-1][c]))
+    for a, b in reversed(list(zip(table, table[1:]))):
+        out = f"CASE WHEN t < {b[0]!r} THEN CASE WHEN t < {(a[0] + b[0]) / 2!r} THEN {a[c]!r} ELSE {b[c]!r} END ELSE {out} END"
+    return f"CAST(CASE WHEN t <= {table[0][0]!r} THEN {table[0][c]!r} ELSE {out} END AS DOUBLE)"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{_nearest_sql(colors.TABLES['dense'], c)} AS {n}" for c, n in ((1, "r"), (2, "g"), (3, "b"))) + " FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS t FROM part)")
+def colormap_nearest(t):
+    rgb = colors.color(F.col("p_size") / 50.0, colors.TABLES["dense"], smooth=False)
+    return t.part.select("p_partkey", *(c.cast("double").alias(n) for c, n in zip(rgb, "rgb")))
+
+
+@query("SELECT CAST(k * 500 AS DOUBLE) AS place FROM (SELECT unnest(range(CAST(ceil(lo / 500) AS BIGINT), CAST(floor(hi / 500) AS BIGINT) + 1)) AS k FROM (SELECT 1000.0::DOUBLE AS lo, 3000.0::DOUBLE + 0 * count(*) AS hi FROM part))")
+def axis_ticks(t):
+    """Major ticks of an axis from 1000 to 3000."""
+    return t.spark.createDataFrame([(float(x),) for x in colors.ticks(1000.0, 3000.0)[0]], "place double")
+
+
+@query("SELECT s_suppkey AS id, round((s_nationkey + 1.0::DOUBLE) * cos(s_suppkey % 7), 6) + 0.0 AS x, round((s_nationkey + 1.0::DOUBLE) * sin(s_suppkey % 7), 6) + 0.0 AS y, s_acctbal AS z FROM supplier")
+def particles(t):
+    """Particles of a torus (r, phi, z) in space."""
+    p = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") + 1.0).alias("r"), (F.col("s_suppkey") % 7).cast("double").alias("phi"), F.col("s_acctbal").alias("z"))
+    return cp.torus_particles(p).select("id", r6("x").alias("x"), r6("y").alias("y"), "z")

@@ -51,19 +51,19 @@ class Tables:
         """Points of the suppliers: node_id, x, y, z."""
         return self.supplier.select(F.col("s_suppkey").cast("long").alias("node_id"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_suppkey") % 10).cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
 
-    # a small scene: 200 tilted triangles over a 10 x 10 field, a sphere and a cylinder for each of 50 parts
+    # a scene: for each part a tilted triangle over a 10 x 10 field, and a sphere and a cylinder in rows of ten
 
     def tris(self) -> DataFrame:
-        p = self.part.where("p_partkey < 200").select(F.col("p_partkey").cast("long").alias("idx"), (F.col("p_partkey") % 10).cast("double").alias("ax"), (F.floor(F.col("p_partkey") / 10) % 10).cast("double").alias("ay"), (5 + F.col("p_size") / 10.0).alias("az"))
+        p = self.part.select(F.col("p_partkey").cast("long").alias("idx"), (F.col("p_partkey") % 10).cast("double").alias("ax"), (F.floor(F.col("p_partkey") / 10) % 10).cast("double").alias("ay"), (5 + F.col("p_size") / 10.0).alias("az"))
         ax, ay, az = F.col("ax"), F.col("ay"), F.col("az")
         return p.select("*", (ax + 0.9).alias("bx"), ay.alias("by"), (az + 0.1).alias("bz"), ax.alias("cx"), (ay + 0.9).alias("cy"), (az + 0.2).alias("cz"))
 
     def spheres(self) -> DataFrame:
-        p = self.part.where("p_partkey < 50")
+        p = self.part
         k = F.col("p_partkey")
         return p.select(k.cast("long").alias("idx"), (k % 10).cast("double").alias("cx"), (F.floor(k / 10) * 2).cast("double").alias("cy"), (4 + F.col("p_size") / 10.0).alias("cz"), (0.2 + (k % 5) / 10.0).alias("r"))
 
     def cylinders(self) -> DataFrame:
-        p = self.part.where("p_partkey < 50")
+        p = self.part
         k = F.col("p_partkey")
         return p.select(k.cast("long").alias("idx"), (k % 10).cast("double").alias("bx"), (F.floor(k / 10) * 2).cast("double").alias("by"), (4 + F.col("p_size") / 10.0).alias("bz"), F.lit(0.6).alias("ax"), F.lit(0.8).alias("ay"), F.lit(0.0).alias("az"), F.lit(1.5).alias("h"), F.lit(0.25).alias("r"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.model import GridSpec, MeshDataset, Shape
+from fieldloom.shared import write_file
 
 from . import vtk
 from .parsed import Cells, Parsed, Parser, load, rectilinear
@@ -175,7 +176,7 @@ def read_protein(spark: SparkSession, path: str) -> MeshDataset:
         element.alias("element"), cut(18, 20).alias("restype"), cut(23, 26).try_cast("long").alias("resseq"), name.isin("N", "CA", "C", "O").cast("long").alias("backbone"),
         cut(55, 60).try_cast("double").alias("occupancy"), cut(61, 66).try_cast("double").alias("tempfactor"), F.col("line").startswith("HETATM").cast("long").alias("hetatm"),
     )
-    points = dense_ids(rows, "n", "chunk", out="node_id").drop("n")
+    points = dense_ids(rows, "chunk", "n", out="node_id").drop("n")
     pair = bonds(points, most_each=4)
     cells = dense_ids(pair, "a", "b", out="cell_id").select("cell_id", F.lit(int(Shape.BEAM)).alias("shape"), F.array("a", "b").alias("nodes"), "dist")
     info = tuple(FieldInfo(c, "points", 1) for c in ("element", "restype", "resseq", "backbone", "occupancy", "tempfactor"))
@@ -264,8 +265,7 @@ def write_pnm(pixels: DataFrame, path: str, w: int, h: int, value: str = "value"
     a = np.zeros(w * h)
     for row in pixels.select("pixel", value).toLocalIterator():
         a[row[0]] = row[1]
-    with open(path, "wb") as f:
-        f.write(pnm(a.reshape(h, w), r.lo, r.hi))
+    write_file(pixels.sparkSession, path, pnm(a.reshape(h, w), r.lo, r.hi))
 
 
 # --- quadtrees -------------------------------------------------------------------------------------

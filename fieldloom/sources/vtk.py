@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from fieldloom.model import DIMENSION, MeshDataset, Shape
+from fieldloom.shared import write_file
 
 from .parsed import Cells, Parsed, rectilinear, structured_cells
 
@@ -193,39 +194,55 @@ def _mesh(kind, dims, points, axes, origin, spacing, sections, rows, types, cell
     raise ValueError(f"data set {kind} is not known")
 
 
+def _array(name: str, a: np.ndarray) -> str:
+    return f"{name} {a.shape[1] if a.ndim > 1 else 1} {len(a)} double\n" + "\n".join(" ".join(map(repr, np.atleast_1d(x).tolist())) for x in a.astype(float))
+
+
+def _structure(dims: tuple[int, ...], coords: np.ndarray) -> list[str]:
+    """Sections of a grid: rectilinear if each coordinate depends on its own axis alone, else structured."""
+    full = (*dims, 1, 1)[:3]
+    grid = coords.reshape(*full[::-1], 3)
+    axes = [grid[0, 0, :, 0], grid[0, :, 0, 1], grid[:, 0, 0, 2]]
+    z, y, x = np.meshgrid(axes[2], axes[1], axes[0], indexing="ij")
+    head = f"DIMENSIONS {' '.join(map(str, full))}"
+    if np.array_equal(np.stack([x, y, z], -1), grid):
+        return ["DATASET RECTILINEAR_GRID", head, *(line for n, a in zip("XYZ", axes) for line in (f"{n}_COORDINATES {len(a)} double", " ".join(map(repr, a.tolist()))))]
+    return ["DATASET STRUCTURED_GRID", head, f"POINTS {len(coords)} double", *(" ".join(map(repr, p.tolist())) for p in coords)]
+
+
 def text(ds: MeshDataset, cellset: str | None = None, title: str = "mesh") -> str:
-    """The data set as an unstructured ASCII file (rectilinear ones keep their points): for meshes that one file may hold."""
+    """The data set as an ASCII file, for meshes that one file may hold: by its structure if it has one and cells in the grid's order, else unstructured.
+
+    Whole-mesh fields go with it; null values are written as 0.
+    """
     names = {f.name: f for f in ds.fields}
     own = [c for c in ds.points.columns if c in names and names[c].assoc == "points"]
-    pts = ds.points.select("node_id", "x", "y", "z", *own).orderBy("node_id").toLocalIterator()
-    out = ["# vtk DataFile Version 3.0", title, "ASCII", "DATASET UNSTRUCTURED_GRID"]
-    coords, values, index = [], {c: [] for c in own}, {}
-    for r in pts:
-        index[r.node_id] = len(coords)
-        coords.append(f"{r.x!r} {r.y!r} {r.z!r}")
-        for c in own:
-            values[c].append(r[c])
-    out += [f"POINTS {len(coords)} double", *coords]
-    cells = ds.cellset(cellset) if ds.cells else None
+    pts = ds.points.select("node_id", "x", "y", "z", *own).orderBy("node_id").toPandas()
+    coords = pts[["x", "y", "z"]].to_numpy(float)
+    index = {n: k for k, n in enumerate(pts.node_id.tolist())}
+    cells = ds.cellset(cellset).orderBy("cell_id").toPandas() if ds.cells else None
     back = {int(s): t for t, s in CELL_TYPES.items()}
-    own_c, rows = [], []
-    if cells is not None:
-        own_c = [c for c in cells.columns if c not in ("cell_id", "shape", "nodes", "chunk", "time")]
-        rows = list(cells.orderBy("cell_id").toLocalIterator())
-        out += [f"CELLS {len(rows)} {sum(1 + len(r.nodes) for r in rows)}", *(" ".join(map(str, [len(r.nodes), *(index[n] for n in r.nodes)])) for r in rows)]
-        out += [f"CELL_TYPES {len(rows)}", *(str(back.get(r["shape"], 7)) for r in rows)]
-    for head, n, cols, get in (("POINT_DATA", len(coords), own, values.__getitem__), ("CELL_DATA", len(rows), own_c, lambda c: [r[c] for r in rows])):
-        if cols and n:
-            out.append(f"{head} {n}")
+    out = ["# vtk DataFile Version 3.0", title, "ASCII"]
+    gridded = ds.grid is not None and ds.grid.n_nodes == len(coords) and (cells is None or (len(cells) == ds.grid.n_cells and set(cells["shape"]) <= {int(ds.grid.shape)}))
+    sections = _structure(ds.grid.dims, coords) if gridded else ["DATASET UNSTRUCTURED_GRID", f"POINTS {len(coords)} double", *(" ".join(map(repr, p.tolist())) for p in coords)]
+    whole = ds.whole.first().asDict() if ds.whole is not None and ds.whole.head(1) else {}
+    whole = {k: np.atleast_1d(np.asarray(v, float)) for k, v in whole.items() if k in names}
+    if whole:
+        sections.insert(1, "\n".join([f"FIELD FieldData {len(whole)}", *(f"{k} {v.size} 1 double\n" + " ".join(map(repr, v.tolist())) for k, v in whole.items())]))
+    out += sections
+    if cells is not None and not gridded:
+        rows = [[index[n] for n in r] for r in cells["nodes"]]
+        out += [f"CELLS {len(rows)} {sum(1 + len(r) for r in rows)}", *(" ".join(map(str, [len(r), *r])) for r in rows)]
+        out += [f"CELL_TYPES {len(rows)}", *(str(back.get(s, 7)) for s in cells["shape"])]
+    own_c = [] if cells is None else [c for c in cells.columns if c not in ("cell_id", "shape", "nodes", "chunk", "time")]
+    for head, table, cols in (("POINT_DATA", pts, own), ("CELL_DATA", cells, own_c)):
+        if cols and len(table):
+            out.append(f"{head} {len(table)}\nFIELD FieldData {len(cols)}")
             for c in cols:
-                v = get(c)
-                comps = len(v[0]) if isinstance(v[0], (list, tuple)) else 1
-                out.append(f"SCALARS {c} double {comps}")
-                out.append("LOOKUP_TABLE default")
-                out += [" ".join(repr(float(y)) for y in x) if comps > 1 else repr(float(x if x is not None else 0)) for x in v]
+                v = table[c]
+                out.append(_array(c, np.array(v.tolist(), float) if v.map(np.ndim).any() else np.nan_to_num(v.to_numpy(float))))
     return "\n".join(out) + "\n"
 
 
 def write(ds: MeshDataset, path: str, cellset: str | None = None) -> None:
-    with open(path, "w", encoding="ascii") as f:
-        f.write(text(ds, cellset))
+    write_file(ds.points.sparkSession, path, text(ds, cellset).encode("ascii"))

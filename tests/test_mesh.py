@@ -58,11 +58,17 @@ def test_case_tables_close_and_agree_across_faces():
 def test_primitives(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7 % 13).alias("v"))
     vals = [i * 7 % 13 for i in range(1000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as partitions
     for inclusive in (True, False):
-        got = [r.scan for r in pr.scan(df, "id", "v", inclusive, block=64).orderBy("id").collect()]
+        got = [r.scan for r in pr.scan(df, "id", "v", inclusive).orderBy("id").collect()]
         assert got == [sum(vals[: i + inclusive]) for i in range(1000)]
     assert [r.id for r in pr.argsort(df, "v", "id").orderBy("rank").collect()] == sorted(range(1000), key=lambda i: (vals[i], i))
-    assert ids(pr.dense_ids(df.where("v > 6"), "id", out="n", block=10), "n", "id") == [(n, i) for n, i in enumerate(i for i in range(1000) if vals[i] > 6)]
+    assert ids(pr.dense_ids(df.where("v > 6"), "id", out="n"), "n", "id") == [(n, i) for n, i in enumerate(i for i in range(1000) if vals[i] > 6)]
+    ties = spark.createDataFrame([(None,), (5,), (5,), (None,), (-10**15,), (10**15,)] * 40, "k long")  # nulls, equal and sparse keys
+    got = sorted((r.n, r.k) for r in pr.dense_ids(ties, "k", out="n").collect())
+    assert [n for n, _ in got] == list(range(240)) and [k for _, k in got] == [None] * 80 + [-(10**15)] * 40 + [5] * 80 + [10**15] * 40
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pr.reduce_with(df, "v", F.greatest, 0, rows=30) == 12 and pr.reduce_with(df.where("id < 0"), "v", F.greatest, -1) == -1
     empty = df.where("id < 0")
     assert pr.scan(empty, "id", "v").count() == 0 and pr.argsort(empty, "v", "id").count() == 0
     assert pr.reverse_index(df.where("id < 3"), "v").count() == 7 + 1
