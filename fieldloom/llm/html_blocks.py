@@ -1,7 +1,7 @@
 """Main text of web pages: every leaf block is labelled by a numpy bidirectional LSTM that reads the whole page.
 
-A page becomes a sequence of leaf blocks (text between block-level tags). A block is described by a hashed vector of its tag
-path with classes and ids, a hashed vector of its words, and a few numbers. The network is trained here, on pages written by a
+A page becomes a sequence of leaf blocks (text between block-level tags). A block is described by a hashed vector of its whole
+tag path with classes, ids and roles, a hashed vector of its words, and a few numbers. The network is trained here, on pages written by a
 seeded generator whose labels are known; no page of the input is looked at for training, so results don't depend on the table.
 """
 
@@ -13,6 +13,7 @@ import os
 import pickle
 import random
 import re
+import string
 import subprocess
 import sys
 import zlib
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .texthash import prefix, spans, words
 
 #: Sizes of the hashed path and word vectors, and of the state in each direction; pages and rounds of training; seed.
-PATH_DIM, WORD_DIM, HIDDEN, PAGES, ROUNDS, SEED = 256, 48, 20, 1200, 12, 11
+PATH_DIM, WORD_DIM, HIDDEN, PAGES, ROUNDS, SEED = 384, 48, 24, 2400, 10, 11
 #: Share of blocks whose words are hidden in training (half as often, their numbers), and decay of the weights of the input.
 MUTE, DECAY = 0.7, 0.004
 _EXTRA = 7
@@ -37,8 +39,10 @@ CELLS = 60_000
 #: Tags that stay inside a block; all others end it.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-HIDDEN_TAGS = frozenset("script style noscript template head title svg math iframe object canvas select textarea".split())
+#: Elements whose content is no text of the page; the network decides on all others, formulas and drawings among them.
+HIDDEN_TAGS = frozenset("script style template head title iframe select textarea".split())
+#: Weight of an element's tag and marks in a block's path, by its distance from the leaf: FAR / (FAR + distance).
+FAR = 6
 #: Tags that end an open element of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that such an end doesn't reach past.
@@ -46,7 +50,7 @@ SCOPE = frozenset("ul ol dl table body article section div nav aside footer head
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*>?"
     r"|(?P<text>[^<]+|<)",
@@ -59,7 +63,7 @@ _HEADING = frozenset(f"h{i}" for i in range(1, 7))
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: tuple[tuple[str, ...], ...]  # (tag, words of class, id and role) of each element from the root
     link: float
 
 
@@ -74,9 +78,9 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, tuple(x for tag, marks in stack for x in (tag, *marks)), min(1.0, linked / len(text))))
+                out.append(Block(text, tuple((tag, *marks) for tag, marks in stack), min(1.0, linked / len(text))))
             held.clear()
         linked = 0
 
@@ -84,7 +88,7 @@ def blocks(page: str) -> list[Block]:
         text = m["text"]
         if text is not None:
             if not hidden:
-                held.append(text)
+                held.append(html.unescape(text) if "&" in text else text)
                 linked += len(text) if in_link else 0
             continue
         if m["tag"] is None:
@@ -117,7 +121,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or m["attrs"].rstrip().endswith("/"):
             continue
-        marks = tuple(w for a in _ATTR.findall(m["attrs"]) for w in re.split(r"[^a-z]+", (a[1] or a[2] or a[3]).lower()) if w)[:8]
+        marks = tuple(w for a in _ATTR.findall(m["attrs"]) for w in re.split(r"[^a-z]+", (a[1] or a[2] or a[3]).lower()) if w)
         if tag in ("body", "head"):  # an unclosed head ends with the body
             hidden -= sum(t in HIDDEN_TAGS for t, _ in stack)
             stack = [x for x in stack if x[0] not in HIDDEN_TAGS]
@@ -127,27 +131,54 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-@functools.lru_cache(maxsize=200_000)
-def _slot(word: str, dim: int) -> tuple[int, float]:
+@functools.lru_cache(maxsize=100_000)
+def _slot(word: str) -> tuple[int, float]:
     h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return (h >> 1) % dim, 1.0 if h & 1 else -1.0
-
-
-def features(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), PATH_DIM + WORD_DIM + _EXTRA), np.float32)
-    for i, b in enumerate(page):
-        for name in set(b.path[-12:]) | {"leaf " + b.path[-1] if b.path else "none"}:
-            k, s = _slot(name, PATH_DIM)
-            x[i, k] += s
-        words = b.text.lower().split()
-        own = x[i, PATH_DIM : PATH_DIM + WORD_DIM]
-        for word in words:
-            k, s = _slot(word, WORD_DIM)
-            own[k] += s
-        own /= max(1.0, float(np.sqrt(own @ own)))
-        n = len(b.text)
-        x[i, -_EXTRA:] = (b.link, np.log1p(n) / 6, np.log1p(len(words)) / 4, sum(b.text.count(c) for c in ".,;:!?") / n, i / len(page), 1 / (1 + i), len(b.path) / 10)
-    return x
+    return (h >> 1) % PATH_DIM, 1.0 if h & 1 else -1.0
+
+
+@functools.lru_cache(maxsize=20_000)
+def _path(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    """The hashed path: each name of any element counts once, by its nearest element; the leaf's tag once more by itself."""
+    weight: dict[str, float] = {}
+    for k, names in enumerate(reversed(path)):
+        for name in names:
+            weight.setdefault(name, FAR / (FAR + k))
+    weight["leaf " + path[-1][0] if path else "none"] = 1.0
+    out = np.zeros(PATH_DIM, np.float32)
+    for name, w in weight.items():
+        k, sign = _slot(name)
+        out[k] += sign * w
+    return out
+
+
+_STOPS = np.zeros(256, np.float32)
+_STOPS[list(b".,;:!?")] = 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+
+
+def features(pages: list[list[Block]]) -> list[np.ndarray]:
+    """For each page a row of numbers for each block."""
+    flat = [b for p in pages for b in p]
+    x = np.zeros((len(flat), PATH_DIM + WORD_DIM + _EXTRA), np.float32)
+    if flat:
+        for row, b in zip(x, flat):
+            row[:PATH_DIM] = _path(b.path)
+        raw = [b.text.lower().encode("utf-8", "surrogatepass") for b in flat]
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+        first, last, row = words(data, off, ~_BLANK)
+        h = spans(prefix(data), first, last)
+        cell = row * WORD_DIM + ((h >> np.uint64(1)) % np.uint64(WORD_DIM)).astype(np.int64)
+        own = np.bincount(cell, np.where(h & np.uint64(1), 1.0, -1.0), len(flat) * WORD_DIM).reshape(-1, WORD_DIM)
+        x[:, PATH_DIM : PATH_DIM + WORD_DIM] = own / np.maximum(1.0, np.sqrt((own * own).sum(1, keepdims=True)))
+        n = np.array([len(b.text) for b in flat], float)
+        stops = np.add.reduceat(_STOPS[data], off[:-1]) / n
+        at = np.concatenate([np.arange(len(p)) for p in pages])
+        of = np.repeat([len(p) for p in pages], [len(p) for p in pages])
+        extra = ([b.link for b in flat], np.log1p(n) / 6, np.log1p(np.bincount(row, minlength=len(flat))) / 4, stops, at / of, 1 / (1 + at), [min(len(b.path), 40) / 10 for b in flat])
+        x[:, -_EXTRA:] = np.stack([np.asarray(e, np.float32) for e in extra], 1)
+    return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
 # --- the network -----------------------------------------------------------------------------------
@@ -252,6 +283,9 @@ _MARKS = {
     "head": "header masthead top site branding logo",
     "main": "content main article post entry body story text page",
 }
+#: Roles of such parts, and marks that say nothing.
+_ROLES = {"nav": "navigation", "side": "complementary", "footer": "contentinfo", "form": "search", "notice": "alert"}
+_PLAIN_MARKS = "row col container wrapper wrap inner outer block flex grid px py mt mb sm lg md full page box layout module item text center left right first last mx auto space gap max min w h hidden relative style"
 
 
 def training_page(rng: random.Random) -> tuple[str, list[int]]:
@@ -263,20 +297,18 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
 
     def line(kind: str | None, lo: int, hi: int) -> str:
         pool = _AROUND[kind].split() if kind and rng.random() < 0.6 else None
-        words = [rng.choice(pool) if pool and rng.random() < 0.6 else word() for _ in range(rng.randint(lo, hi))]
+        terms = [rng.choice(pool) if pool and rng.random() < 0.6 else word() for _ in range(rng.randint(lo, hi))]
         if rng.random() < (0.9 if kind is None else 0.3):
-            words[0] = words[0].capitalize()
-            words[-1] += "."
+            terms[0] = terms[0].capitalize()
+            terms[-1] += "."
         odd = style if rng.random() < 0.5 else rng.random()
-        if odd < 0.06:
-            words = [w + rng.choice(["###", "&amp;&amp;", "%%%", "$$$", "***"]) for w in words]
-        elif odd < 0.12:
-            words = " | ".join(words).split()
-        elif odd < 0.16:
-            words = [w.upper() + "!!" for w in words]
-        elif odd < 0.2:
-            words = [w for w in words for _ in range(rng.randint(1, 60))]
-        return " ".join(words)
+        if odd < 0.06:  # numbers, prices, symbols
+            terms = [rng.choice([str(rng.randint(0, 3000)), w, f"{w}{rng.choice(string.punctuation.replace('&', '').replace('<', ''))}", f"{rng.randint(1, 99)}.{rng.randint(10, 99)}"]) for w in terms]
+        elif odd < 0.1:
+            terms = [w.upper() for w in terms]
+        elif odd < 0.14:  # a very long block
+            terms = terms * rng.randint(1, 30)
+        return " ".join(terms)
 
     def marks(kind: str, sure: float) -> str:
         if rng.random() > sure:
@@ -285,22 +317,51 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
 
     def leaf(tag: str, text: str, label: int) -> str:
         labels.append(label)
-        if rng.random() < 0.2 and tag == "p":
-            return f"<p><b>{text}<br>"
-        return f"<{tag}>{text}" + (f"</{tag}>" if tag not in ("p", "li") or rng.random() < 0.9 else "")
+        if rng.random() < 0.15:
+            inside = rng.choice(["b", "i", "span", "em", "a", "font"])
+            text = f"<{inside}>{text}</{inside}>" if rng.random() < 0.5 else f"{text} <{inside}>{word()}</{inside}> {word()}"
+        mark = plain() if rng.random() < 0.2 else ""
+        return f"<{tag}{mark}>{text}" + (f"</{tag}>" if tag not in ("p", "li", "td", "dt", "dd") or rng.random() < 0.9 else "")
+
+    def plain() -> str:
+        """Marks that say nothing."""
+        return f' class="{" ".join(rng.sample(_PLAIN_MARKS.split(), rng.randint(1, 4)))}"'
+
+    def nest(inner: str, most: int) -> str:
+        for _ in range(rng.randint(0, most)):
+            tag = rng.choice(["div", "div", "div", "section"])
+            inner = f"<{tag}{plain() if rng.random() < 0.7 else ''}>{inner}</{tag}>"
+        return inner
+
+    deep = rng.choice([0, 0, 0, 1, 3, 8])
+    old = rng.random() < 0.12  # laid out by a table
 
     def links(kind: str, n: int) -> str:
-        return "<ul>" + "".join(leaf("li", f'<a href="/{word()}">{line(kind, 1, 3)}</a>', 0) for _ in range(n)) + "</ul>"
+        form = rng.random()
+        each = [f'<a href="/{word()}">{line(kind, 1, 3)}</a>' for _ in range(n)]
+        if form < 0.75:
+            return "<ul>" + "".join(leaf("li", x, 0) for x in each) + "</ul>"
+        if form < 0.87:
+            return "".join(leaf(rng.choice(["div", "p"]), x, 0) for x in each)
+        labels.append(0)
+        return " ".join(each)
 
     def around(kind: str) -> str:
         tag, sure = {"nav": ("nav", 0.4), "footer": ("footer", 0.4), "side": ("aside", 0.5), "form": ("form", 0.4)}.get(kind, (rng.choice(["div", "div", "section"]), 1.0))
         if kind != "form" and rng.random() < 0.4:
             tag, sure = "div", 1.0
-        open_ = f"<{tag}{marks(kind, sure)}>"
+        if old:
+            tag, sure = "td", 0.4
+        mark = marks(kind, sure)
+        if kind in _ROLES and rng.random() < 0.15:
+            mark += f' role="{_ROLES[kind]}"'
         if kind in ("nav", "side") and rng.random() < 0.8:
-            inner = (leaf(rng.choice(["h3", "h4"]), line(kind, 1, 3), 0) if kind == "side" and rng.random() < 0.6 else "") + links(kind, rng.randint(2, 8))
+            inner = (leaf(rng.choice(["h2", "h3", "h4"]), line(kind, 1, 3), 0) if kind == "side" and rng.random() < 0.6 else "") + links(kind, rng.randint(1, 8))
         elif kind == "comments":
-            inner = leaf("h3", line(kind, 1, 3), 0) + "".join(f"<div{marks(kind, 0.6)}>" + leaf("p", line(kind if rng.random() < 0.5 else None, 4, 40), 0) + "</div>" for _ in range(rng.randint(1, 6)))
+            inner = leaf(rng.choice(["h2", "h3"]), line(kind, 1, 4), 0) if rng.random() < 0.7 else ""
+            each, list_ = rng.choice([("div", ""), ("div", ""), ("li", "ol"), ("article", ""), ("p", "")])
+            body = "".join((f"<{each}{marks(kind, 0.5)}>" if each != "p" else "") + leaf("p", line(kind if rng.random() < 0.3 else None, 2, 40), 0) + (f"</{each}>" if each != "p" else "") for _ in range(rng.randint(1, 6)))
+            inner += f"<{list_}>{body}</{list_}>" if list_ else body
         elif kind == "form":
             inner = "".join(leaf(rng.choice(["div", "p"]), f"<label>{line(kind, 1, 3)}</label><input>", 0) for _ in range(rng.randint(1, 3))) + leaf("button", line(kind, 1, 2), 0)
         elif rng.random() < 0.5:
@@ -308,38 +369,63 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
             inner = line(None if rng.random() < 0.6 else kind, 2, 25)
         else:
             inner = "".join(leaf("p", line(None if rng.random() < 0.5 else kind, 2, 30), 0) for _ in range(rng.randint(1, 3)))
-        return f"{open_}{inner}</{tag}>"
+        if rng.random() < 0.05:
+            inner += rng.choice(["<noscript>{}</noscript>", "<svg>{}</svg>"]).format(leaf("div", line(kind, 1, 6), 0))
+        return f"<{tag}{mark}>{nest(inner, deep)}</{tag}>"
 
     def article() -> str:
-        tag, sure = rng.choice([("article", 0.3), ("article", 0.3), ("main", 0.3), ("div", 1.0), ("section", 1.0)])
-        out = [f"<{tag}{marks('main', sure)}>"]
+        tag, sure = rng.choice([("article", 0.3), ("article", 0.3), ("main", 0.3), ("div", 1.0), ("section", 1.0), ("div", 0.2)])
+        if old:
+            tag, sure = "td", 0.2
+        out = []
         if rng.random() < 0.85:
             out.append(leaf(rng.choice(["h1", "h1", "h2"]), line(None, 1, 12), 1))
-        for _ in range(rng.choice([1, 1, 2, 4, 8, 8, 14, 14, 30, 80])):
+        for _ in range(rng.choice([1, 1, 2, 4, 4, 8, 8, 14, 30, 80] * 5 + [300])):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.66:
                 out.append(leaf("p", line(None, 1, rng.choice([3, 12, 60, 150])), 1))
-            elif r < 0.8:
+            elif r < 0.74:
                 out.append(leaf(rng.choice(["h2", "h3"]), line(None, 1, 6), 1))
-            elif r < 0.87:
-                out.append("<ul>" + "".join(leaf("li", line(None, 1, 14), 1) for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif r < 0.91:
-                out.append("<table><tr>" + "".join(leaf("td", line(None, 1, 4), 1) for _ in range(rng.randint(2, 4))) + "</tr></table>")
-            elif r < 0.95:
+            elif r < 0.81:
+                list_ = rng.choice(["ul", "ol"])
+                out.append(f"<{list_}>" + "".join(leaf("li", line(None, 1, 14), 1) for _ in range(rng.randint(2, 5))) + f"</{list_}>")
+            elif r < 0.85:
+                out.append("<table>" + "".join("<tr>" + "".join(leaf("th" if k == 0 else "td", line(None, 1, 4), 1) for _ in range(rng.randint(1, 4))) + "</tr>" for k in range(rng.randint(1, 4))) + "</table>")
+            elif r < 0.89:
                 out.append(leaf(rng.choice(["blockquote", "pre"]), line(None, 3, 30), 1))
-            else:
+            elif r < 0.92:
+                out.append(f"<figure><img src='x'>{leaf('figcaption', line(None, 2, 12), 1)}</figure>" if rng.random() < 0.5 else "<dl>" + "".join(leaf("dt", line(None, 1, 3), 1) + leaf("dd", line(None, 2, 12), 1) for _ in range(2)) + "</dl>")
+            elif r < 0.94:
+                out.append("<math>" + "".join(leaf(rng.choice(["mi", "mo", "mn"]), rng.choice(["x", "=", "+", "2", "k"]), 1) for _ in range(rng.randint(1, 5))) + "</math>")
+            elif r < 0.96:
+                out.append(nest(leaf("p", line(None, 3, 30), 1), 2))
+            elif not old:
                 out.append(around(rng.choice(["ad", "side", "notice"])))
-        if rng.random() < 0.1:
+        if rng.random() < 0.1 and not old:
             out.append(around("comments"))
-        return "".join(out) + (f"</{tag}>" if rng.random() < 0.95 else "")
+        return f"<{tag}{marks('main', sure)}>{nest(''.join(out), deep)}" + (f"</{tag}>" if rng.random() < 0.95 else "")
 
-    parts = ["<!DOCTYPE html><html><head><title>x</title><script>var a='<p>';</script></head><body>"]
+    bare = rng.random() < 0.1  # no frame
+    if rng.random() < 0.07:
+        return article(), labels  # nothing else
+    parts = [""] if bare else ["<!DOCTYPE html><html><head><title>x</title><script>var a='<p>';</script></head><body" + (plain() if rng.random() < 0.3 else "") + ">"]
     if rng.random() < 0.4:
-        parts.append(f"<header{marks('head', 0.4)}>" + leaf(rng.choice(["div", "p", "h2"]), line(None, 1, 4), 0) + (around("nav") if rng.random() < 0.5 else "") + "</header>")
-    before, after = [k for k in ("nav", "ad", "notice", "form", "side") if rng.random() < (0.8 if k == "nav" else 0.35)], [k for k in ("side", "comments", "ad", "form", "notice", "footer") if rng.random() < (0.85 if k == "footer" else 0.3)]
-    wrap = rng.random() < 0.3
-    parts += [around(k) for k in before] + ['<div class="wrapper">' if wrap else "", article()] + [around(k) for k in after] + ["</div>" if wrap else "", "</body></html>"]
-    return "".join(parts), labels
+        parts.append(f"<header{marks('head', 0.4)}>" if rng.random() < 0.6 else f"<div{marks('head', 1.0)}>")
+        shut = "</header>" if parts[-1].startswith("<header") else "</div>"
+        parts.append(leaf(rng.choice(["div", "p", "h1", "h2", "a"]), line(None, 1, 4), 0) if rng.random() < 0.8 else "")
+        parts.append((around("nav") if rng.random() < 0.5 and not old else "") + shut)
+    sides = lambda kinds, p, some: [k for k in kinds if rng.random() < (0.8 if k == some else p)]
+    before, after = sides(("nav", "ad", "notice", "form", "side"), 0.25, "nav"), sides(("side", "comments", "ad", "form", "notice", "footer"), 0.25, "footer")
+    rng.shuffle(after)
+    if rng.random() < 0.03:
+        body = [around(k) for k in (*before, "footer")]  # no article at all
+    else:
+        body = [around(k) for k in before] + [article()] + [around(k) for k in after]
+    if old:
+        row = "</tr><tr>" if rng.random() < 0.5 else ""
+        body = ["<table><tr>", row.join(body), "</tr></table>"]
+    parts.append(nest("".join(body), deep) if rng.random() < 0.4 else "".join(body))
+    return "".join(parts) + ("" if bare else "</body></html>"), labels
 
 
 @functools.lru_cache(maxsize=2)
@@ -361,7 +447,7 @@ def train(pages: int, rounds: int, hidden: int, seed: int) -> BiLstm:
         text, labels = training_page(rng)
         got = blocks(text)
         if len(got) == len(labels):
-            data.append((features(got), np.array(labels, np.float32)))
+            data.append((features([got])[0], np.array(labels, np.float32)))
     data.sort(key=lambda d: len(d[0]))
     groups = [data[i : i + 20] for i in range(0, len(data), 20)]
     net = BiLstm(PATH_DIM + WORD_DIM + _EXTRA, hidden, seed)
@@ -393,7 +479,7 @@ def label(pages: list[list[Block]], net: BiLstm) -> list[np.ndarray]:
     while order:
         take = max(1, CELLS // len(pages[order[0]]))
         some, order = order[:take], order[take:]
-        x, mask = _batch([features(pages[i]) for i in some])
+        x, mask = _batch(features([pages[i] for i in some]))
         p = _sigmoid(net(x, mask))
         for row, i in enumerate(some):
             out[i] = p[row, : len(pages[i])]
@@ -403,7 +489,9 @@ def label(pages: list[list[Block]], net: BiLstm) -> list[np.ndarray]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", net: BiLstm | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_main of each page: its main blocks in order, joined by two line ends.
 
-    Null and empty pages, and pages without main blocks, have empty text. Nothing is cut or dropped within a main block.
+    Null and empty pages, and pages without main blocks, have empty text; null ids and urls stay null. Rows that repeat are
+    pages of their own. A block is main if its probability is over one half (exactly half is not). Whole pages of any length
+    are read; nothing is cut or dropped within a main block. Empty input gives no rows, other columns are not carried.
     """
     net = net or trained()
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("text"))
