@@ -194,7 +194,7 @@ class Encoder:
 
     def __call__(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and their offsets."""
-        if len(self.slot) > CACHE:
+        if len(self.slot) > CACHE or len(self.ids) > 16 * CACHE:
             self.clear()
         pieces = [self.find(t) for t in texts]
         new = list({p for x in pieces for p in x if p not in self.slot})
@@ -206,18 +206,24 @@ class Encoder:
         ids, at = gather(self.ids, self.offsets, which)
         ends = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum([len(x) for x in pieces], out=ends[1:])
-        if long:
-            self.clear()  # do not keep very long pieces
+        for p in long:
+            del self.slot[p]  # do not keep very long pieces; their ids go with the next clearing
         return ids, at[ends]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """A worker's encoder, whose pieces outlive the task."""
+    return Encoder(path, pattern)
+
+
 def decode(ids: np.ndarray, v: Ranks) -> bytes:
     return gather(v.bytes, v.offsets, ids)[0].tobytes()
 
 
 def _mapper(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, pattern)
+        enc = encoder(path, pattern)
         for batch in slices(batches, step=2 << 20):
             ids, off = enc(batch.column("text").to_pylist())
             cols = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(off))}
