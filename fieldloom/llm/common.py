@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.shared import settle, shared_path
 
-__all__ = ["bucket", "buffers", "id_cuts", "key_text", "settle", "shared_path", "slices", "with_group"]
+__all__ = ["bucket", "buffers", "id_cuts", "key_text", "one_of_each", "settle", "shared_path", "slices", "whole_rows", "with_group"]
 
 #: Text bytes that one vectorised step handles at a time in a Python worker.
 STEP_BYTES = 4 << 20
@@ -27,6 +27,18 @@ def key_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     )
 
 
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (all columns as a struct, so that no name can clash), id and digest (sha256 of the text; null: empty)."""
+    return docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256).alias("digest"))
+
+
+def one_of_each(rows: DataFrame, single: bool) -> DataFrame:
+    """The columns of `row` of one row of those that repeat id and digest; single: none do."""
+    if not single:
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row")))).where("n = 1")
+    return rows.select("row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about `step` bytes of text at most, or one row if that is longer."""
     for batch in batches:

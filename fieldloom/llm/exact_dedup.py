@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_text, settle, shared_path, with_group
+from .common import key_text, one_of_each, settle, shared_path, whole_rows, with_group
 
 
 class DigestIndex:
@@ -61,16 +61,17 @@ def find_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they are; one row of those that repeat doc_id and text."""
+    """The rows of docs that stay, all columns as they are; one row of those that repeat doc_id and text.
+
+    Texts are equal when identical; null counts as empty. Of equal texts the largest doc_id stays, a null one only if all are
+    null. Columns of any name pass through. Empty input gives no rows.
+    """
     spark = docs.sparkSession
     index = DigestIndex(spark, shared_path(spark, "digests"), buckets_for(spark))
-    keep = index.add(digests(docs, id_col, text_col)).select(F.col("digest").alias("_dg"), F.col("keep_id").alias("_id"))
-    tagged = docs.withColumns({"_d": F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), "_i": docs[id_col].cast("long")})
-    out = tagged.join(keep, F.col("_d").eqNullSafe(F.col("_dg")) & F.col("_i").eqNullSafe(F.col("_id")), "left_semi")
-    if docs.groupBy(docs[id_col].cast("long").alias("i")).count().where("count > 1").isEmpty():
-        return out.select(*docs.columns)  # no row can repeat both id and text
-    one = Window.partitionBy("_d", "_i").orderBy(F.xxhash64(*docs.columns))
-    return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    keep = index.add(digests(docs, id_col, text_col)).select(F.col("digest").alias("kept"), "keep_id")
+    out = whole_rows(docs, id_col, text_col).join(keep, (F.col("digest") == F.col("kept")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # where no id repeats, no row can repeat both id and text
+    return one_of_each(out, docs.groupBy(docs[id_col].cast("long").alias("i")).count().where("count > 1").isEmpty())
 
 
 SQL = """

@@ -211,17 +211,22 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that identify() rejects, all columns as they are. Each row is judged by its own text; ids play no part."""
+    """docs without the rows that identify() rejects, all columns as they are. Each row is judged by its own text; ids play no part.
+
+    Null and empty texts and texts without a letter go, and so does everything if no row can be learned from. Copies are judged
+    alike. Columns of any name pass through. Empty input gives no rows.
+    """
     model = fit(docs, fold(docs, 3) != 1)
-    rows = docs.select("*", F.coalesce(docs.text.cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    spare = "letters" + "_" * max(map(len, docs.columns))  # no column has so long a name
+    rows = docs.select("*", F.coalesce(docs.text.cast("string").rlike(r"\p{L}"), F.lit(False)).alias(spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            keep = batch.column(spare).to_numpy(zero_copy_only=False).astype(bool)
             if model is None:
                 keep[:] = False
             else:
                 keep &= ~np.concatenate([model.predict(c)[2] for c in counts(batch.column("text"))])
-            yield batch.filter(pa.array(keep)).drop_columns(["_letters"])
+            yield batch.filter(pa.array(keep)).drop_columns([spare])
 
     return rows.mapInArrow(run, docs.schema)

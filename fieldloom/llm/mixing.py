@@ -13,6 +13,8 @@ from .common import key_text, settle
 
 #: Entropy to reach (as a share of the most that the sources allow), passes over a source at most, rows aimed at in a block.
 ENTROPY, REPEAT, BLOCK_ROWS, SEED = 0.95, 4.0, 256, 17
+#: Sources whose weights may be sent to every task.
+SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,8 @@ def _draws(docs: DataFrame, budget: int | None = None, entropy_share: float = EN
         [(s, p.weights[s], p.exponent, p.quota[s], tokens[s], -(-r.n // BLOCK_ROWS), (p.quota[s] // tokens[s] if tokens[s] else 0)) for r in totals for s in [r.source]],
         "s string, weight double, exponent double, quota long, tokens long, blocks long, whole long",
     )
-    drawn = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")))
+    # a row a source: sent to every task up to SOURCES, joined by Spark's own choice beyond
+    drawn = rows.join(F.broadcast(table) if len(totals) <= SOURCES else table, F.col("source").eqNullSafe(F.col("s")))
     drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
     # a block is numbered by a seeded hash: another dealing and another order for each pass
     drawn = drawn.withColumn("key", F.xxhash64(F.lit(SEED), "epoch", "source", "doc_id", "h")).withColumn("block", F.pmod("key", "blocks"))
@@ -109,9 +112,12 @@ def _draws(docs: DataFrame, budget: int | None = None, entropy_share: float = EN
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs as often as they are drawn, all columns as they are; rows that repeat id and text share their draws."""
-    times = _draws(docs, **how).select("doc_id", "h", "epoch").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("_times"))
-    times = settle(docs.sparkSession, times.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_times"), "draws")
-    own = docs.withColumns({"_i": docs.doc_id.cast("long"), "_t": F.xxhash64(F.coalesce(docs.text, F.lit("")))})
-    out = own.join(times, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    """Rows of docs as often as they are drawn, all columns as they are; rows that repeat id and text share their draws.
+
+    Null texts count as empty; a null source is a source. Columns of any name pass through. Empty input gives no rows.
+    """
+    times = _draws(docs, **how).select("doc_id", "h", "epoch").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
+    times = settle(docs.sparkSession, times, "draws")
+    own = docs.select(F.struct("*").alias("row"), docs.doc_id.cast("long").alias("id"), F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))).alias("hash"))
+    out = own.join(times, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h")))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k")).select("row.*")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -54,9 +55,9 @@ def test_index_finds_every_link(kind):
         fp = [near(rng.choice(cs), rng.randint(0, 7)) for _ in range(400)]
     fp = np.array(sorted(set(fp)), np.uint64)
     g = np.array([rng.randrange(3) if kind == "groups" else 0 for _ in fp])
-    order = np.lexsort((s.gray_rank(fp), g))
+    order = s.gray_order(fp[:, None], g)
     fp, g = fp[order], g[order]
-    root = s.link(fp, g)
+    root = s.link(fp[:, None], g)
     for k in set(g.tolist()):
         rows = np.flatnonzero(g == k)
         want = plain_components({int(i): int(fp[i]) for i in rows})
@@ -94,11 +95,46 @@ def check(odd, odd_rows):
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
 
 
-def test_stage(odd, odd_rows):
-    got = s.keep_one(odd)
-    assert got.columns == odd.columns
-    prints = {r[0]: plain_print(r[1]) for r in odd_rows if r[0] is not None}
-    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(set(plain_components(prints).values()))
+def test_wide_print():
+    rng = random.Random(5)
+    texts = ["", " \t", "One", "one two  THREE four", *(" ".join(rng.choices(["a", "bb", "Cc", "é"], k=n)) for n in (5, 6, 9, 40, 70_000))]
+    got = s.wide_prints(pa.array(texts))
+    for t, fp in zip(texts, got):  # the same words give the same print, whatever stands between them
+        assert (s.wide_prints(pa.array(["x y", "  " + "\n".join(t.upper().replace("É", "é").split()) + " "]))[1] == fp).all()
+    assert not got[:2].any() and all(g.any() for g in got[2:])
+    h = s.mix(np.arange(40, dtype=np.uint64))  # counting four bits in a word loses none
+    assert [int(b) for b in np.binary_repr(int(got[2][0]), 64)] and len(h) == 40
+
+
+def test_wide_words_against_brute_force():
+    rng = np.random.default_rng(8)
+    cs = rng.integers(0, 1 << 63, (20, s.WIDE), dtype=np.uint64) * np.uint64(2)
+    fp = cs[rng.integers(0, 20, 500)]
+    for row in fp:
+        for b in rng.choice(64 * s.WIDE, rng.integers(0, 60), replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = np.unique(fp, axis=0)
+    g = rng.integers(0, 3, len(fp))
+    order = s.gray_order(fp, g)
+    fp, g = fp[order], g[order]
+    root = s.link(fp, g, bits=s.allowed())
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) > s.allowed()
+    near = ~far & (g[:, None] == g[None])
+    want = np.arange(len(fp))
+    while True:
+        new = np.where(near, want[None], len(fp)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    assert (root == want).all() and len(set(want.tolist())) < len(fp)
+
+
+def test_gray_neighbours_differ_in_one_bit():
+    x = np.arange(1 << 12, dtype=np.uint64)
+    two = np.stack([x >> np.uint64(6) << np.uint64(58), x & np.uint64(63)], 1)  # high bits in one word, low ones in the next
+    two = two[s.gray_order(two, np.zeros(len(x), int))]
+    step = two[1:] ^ two[:-1]
+    assert len(np.unique(two, axis=0)) == len(x) and np.bitwise_count(step).sum(1).max() <= 58 + 1
 
 
 def test_stage_keeps_every_text_whatever_its_id(spark):
