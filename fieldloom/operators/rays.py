@@ -217,8 +217,36 @@ def reflect(points: DataFrame) -> DataFrame:
     return points.select("ray_id", *((F.col(f"p{a}") - x * 1e-4).alias(f"o{a}") for a, x in zip("xyz", d)), *(x.alias(f"d{a}") for a, x in zip("xyz", out)))
 
 
-def shade(points: DataFrame, light, eye, ambient: float = 0.2, diffuse: float = 0.6, specular: float = 0.3, shine: float = 10.0, falloff=(1.0, 0.0, 0.0), intensity: float = 1.0, depth: int = 0) -> DataFrame:
-    """ray_id, shade: Blinn-Phong at hits with normals and lit, times 0.3 per bounce, at most 1."""
+def hit_normals(points: DataFrame, scene: dict[str, DataFrame]) -> DataFrame:
+    """points (with kind and idx) and the unit normal nx, ny, nz of what they lie on; a hit where there is none has null."""
+    out = None
+    for kind, prims in scene.items():
+        p = points.where(F.col("kind") == kind)
+        if kind == "triangle":
+            p = p.join(triangle_normals(prims), "idx")
+        else:
+            own = [c for c in ("cx", "cy", "cz", "bx", "by", "bz", "ax", "ay", "az") if c in prims.columns]
+            p = p.join(prims.select(F.col("idx"), *(F.col(c).alias(f"_{c}") for c in own)), "idx")
+            if kind == "sphere":
+                n = v3.sub(_p("px", "py", "pz"), _p("_cx", "_cy", "_cz"))
+            else:  # away from the axis
+                axis = _p("_ax", "_ay", "_az")
+                p, rel = let(p, "rel", v3.sub(_p("px", "py", "pz"), _p("_bx", "_by", "_bz")))
+                n = v3.sub(rel, v3.scale(axis, v3.dot(rel, axis)))
+            p = p.withColumns({f"n{a}": x for a, x in zip("xyz", v3.normalize(n))}).drop(*(f"_{c}" for c in own), "_relx", "_rely", "_relz")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def shade(points: DataFrame, light, eye, ambient: float = 0.2, diffuse: float = 0.6, specular: float = 0.3, shine: float = 10.0, falloff=(1.0, 0.0, 0.0), intensity: float = 1.0, depth: int = 0, materials: DataFrame | None = None) -> DataFrame:
+    """ray_id, shade: Blinn-Phong at hits with normals and lit, times 0.3 per bounce, at most 1.
+
+    materials (kind, idx, ambient, diffuse, specular, shine): own coefficients of some primitives; others have the given ones.
+    """
+    k = {"ambient": F.lit(ambient), "diffuse": F.lit(diffuse), "specular": F.lit(specular), "shine": F.lit(shine)}
+    if materials is not None:
+        points = points.join(materials.select("kind", "idx", *(F.col(c).alias(f"m_{c}") for c in k)), ["kind", "idx"], "left")
+        k = {c: F.coalesce(F.col(f"m_{c}"), x) for c, x in k.items()}
     p, n = _p("px", "py", "pz"), _p("nx", "ny", "nz")
     points, to_l = let(points, "tl", v3.sub(v3.lit(*light), p))
     points, to_e = let(points, "te", v3.sub(v3.lit(*eye), p))
@@ -228,29 +256,34 @@ def shade(points: DataFrame, light, eye, ambient: float = 0.2, diffuse: float =
     points, h = let(points, "h", v3.normalize(h))
     d = v3.norm(to_l) + v3.norm(v3.sub(v3.lit(*eye), _p("ox", "oy", "oz")))
     fall = falloff[0] + falloff[1] * d + falloff[2] * d * d
-    direct = diffuse * 0.9 * F.greatest(v3.dot(n, l), F.lit(0.0)) + specular * 0.9 * F.pow(F.greatest(v3.dot(n, h), F.lit(0.0)), F.lit(shine))
-    return points.select("ray_id", F.least((F.lit(ambient) + direct * F.col("lit") * intensity / fall) * 0.3**depth, F.lit(1.0)).alias("shade"))
+    direct = k["diffuse"] * 0.9 * F.greatest(v3.dot(n, l), F.lit(0.0)) + k["specular"] * 0.9 * F.pow(F.greatest(v3.dot(n, h), F.lit(0.0)), k["shine"])
+    return points.select("ray_id", F.least((k["ambient"] + direct * F.col("lit") * intensity / fall) * 0.3**depth, F.lit(1.0)).alias("shade"))
 
 
-def trace(rays: DataFrame, tris: DataFrame, light, eye, bounces: int = 1, samples: int = 0, reach: float = 1.0, small: int = SMALL) -> DataFrame:
-    """ray_id, shade of triangles summed over bounces, shadows included; 0 where nothing is hit. samples > 0: times the open share.
+def trace(rays: DataFrame, scene: DataFrame | dict[str, DataFrame], light, eye, bounces: int = 1, samples: int = 0, reach: float = 1.0, small: int = SMALL, materials: DataFrame | None = None, color: Column | None = None) -> DataFrame:
+    """ray_id, shade summed over bounces with shadows, and depth (of the first hit; null where nothing is hit, and shade is 0 there).
 
-    Hits of each bounce are written to the shared folder, as shadows, shade and the next rays all start from them.
+    scene: triangles, or primitives by kind. samples > 0: times the open share. color: a factor of each hit from kind, idx, u, v
+    and its place px, py, pz, as a color map gives it. Hits of each bounce are written to the shared folder, as shadows, shade and
+    the next rays all start from them.
     """
     spark = rays.sparkSession
-    scene = {"triangle": tris}
-    normals = triangle_normals(tris)
-    total, at = None, rays
+    scene = scene if isinstance(scene, dict) else {"triangle": scene}
+    total, at, first = None, rays, None
     for depth in range(bounces + 1):
-        p = settle(spark, hit_points(at, nearest(at, scene, small=small)).join(normals, "idx"), "hits")
+        p = settle(spark, hit_normals(hit_points(at, nearest(at, scene, small=small)), scene), "hits")
+        first = p.select("ray_id", F.col("dist").alias("depth")) if first is None else first
         p = p.join(shadow(at, p, scene, light, small), "ray_id")
-        s = shade(p, light, eye, depth=depth)
+        s = shade(p, light, eye, depth=depth, materials=materials)
+        if color is not None:
+            s = s.join(p.select("ray_id", color.alias("c")), "ray_id").select("ray_id", (F.col("shade") * F.col("c")).alias("shade"))
         if samples:
             s = s.join(ambient_occlusion(p, scene, samples, reach, small=small).withColumnRenamed("pixel", "ray_id"), "ray_id").select("ray_id", (F.col("shade") * F.col("open")).alias("shade"))
         total = s if total is None else total.unionByName(s)
         at = reflect(p)
     sums = total.groupBy("ray_id").agg(F.sum("shade").alias("s"))
-    return rays.select("ray_id").join(sums, "ray_id", "left").select("ray_id", F.least(F.coalesce("s", F.lit(0.0)), F.lit(1.0)).alias("shade"))
+    out = rays.select("ray_id").join(sums, "ray_id", "left").join(first, "ray_id", "left")
+    return out.select("ray_id", F.least(F.coalesce("s", F.lit(0.0)), F.lit(1.0)).alias("shade"), "depth")
 
 
 # --- volumes and images ----------------------------------------------------------------------------

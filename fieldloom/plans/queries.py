@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import model
-from fieldloom.functions import colors, grid as g, matrix as mx
+from fieldloom.functions import chemistry as ch, colors, grid as g, matrix as mx
 from fieldloom.model import EDGES, Shape
 from fieldloom.operators import compute as cp, geometry as geo, primitives as pr, rays as ry, select as sel, topology as tp
 
@@ -705,11 +706,45 @@ def ao_avg(t):
     return ry.ambient_occlusion(points, {"triangle": t.tris()}, 8, 3.0).select("pixel", r6("open").alias("open"))
 
 
-@query()
+def _suffixed(sql: str, names: tuple[str, ...], k: str) -> str:
+    """CTEs under other names."""
+    for n in names:
+        out = []
+        for word in re.split(r"(\b" + n + r"\b)", sql):
+            out.append(f"{n}{k}" if word == n else word)
+        sql = "".join(out)
+    return sql
+
+
+def _bounce(rays: str, depth: int) -> str:
+    """CTEs sh<depth> (ray_id, shade) and rr<depth> (the next rays) of a table of rays."""
+    sql = f"""{tri_hits(rays)}, {NEAR},
+hp AS (SELECT h.ray_id, h.idx, h.ox, h.oy, h.oz, h.dx, h.dy, h.dz, h.ox + h.dx * h.t AS px, h.oy + h.dy * h.t AS py, h.oz + h.dz * h.t AS pz, nn.x AS nx, nn.y AS ny, nn.z AS nz FROM nh h JOIN nn USING (idx)),
+l0 AS (SELECT *, 2.0::DOUBLE - px AS lx, 12.0::DOUBLE - py AS ly, -10.0::DOUBLE - pz AS lz, 5.0::DOUBLE - px AS ex, 5.0::DOUBLE - py AS ey, -5.0::DOUBLE - pz AS ez FROM hp), l1 AS (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS len, sqrt(ex * ex + ey * ey + ez * ez) AS el FROM l0),
+sr AS (SELECT ray_id, px + lx / len * 1e-4::DOUBLE AS ox, py + ly / len * 1e-4::DOUBLE AS oy, pz + lz / len * 1e-4::DOUBLE AS oz, lx / len AS dx, ly / len AS dy, lz / len AS dz, len - 1e-4::DOUBLE AS reach FROM l1), {_second('sr')},
+l2 AS (SELECT *, lx / len + ex / el AS hx, ly / len + ey / el AS hy, lz / len + ez / el AS hz, CASE WHEN ray_id IN (SELECT ray_id FROM thb WHERE t < reach) THEN 0 ELSE 1 END AS lit FROM l1),
+sh AS (SELECT ray_id, least((0.2::DOUBLE + (0.6::DOUBLE * 0.9::DOUBLE * greatest((nx * lx + ny * ly + nz * lz) / len, 0) + 0.3::DOUBLE * 0.9::DOUBLE * pow(greatest((nx * hx + ny * hy + nz * hz) / sqrt(hx * hx + hy * hy + hz * hz), 0), 10.0)) * lit) * pow(0.3::DOUBLE, {depth}), 1.0) AS shade FROM l2),
+rf AS (SELECT *, CASE WHEN nx * dx + ny * dy + nz * dz > 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS s FROM hp), rg AS (SELECT *, 2 * s * (nx * dx + ny * dy + nz * dz) AS m FROM rf),
+rr AS (SELECT ray_id, px - dx * 1e-4::DOUBLE AS ox, py - dy * 1e-4::DOUBLE AS oy, pz - dz * 1e-4::DOUBLE AS oz, dx - m * s * nx AS dx, dy - m * s * ny AS dy, dz - m * s * nz AS dz FROM rg)"""
+    return _suffixed(sql, ("x1", "x2", "x3", "x4", "th", "nh", "hp", "l0", "l1", "l2", "sr", "x1b", "x2b", "x3b", "x4b", "thb", "sh", "rf", "rg", "rr"), f"_{depth}")
+
+
+_NORMALS = "n0 AS (SELECT idx, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS x, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS y, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS z FROM tris), nn AS (SELECT idx, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM n0)"
+
+
+@query(f"WITH {RAYS}, {TRIS}, {_NORMALS}, {_bounce('rays', 0)}, {_bounce('rr_0', 1)} SELECT ray_id, round(least(coalesce(a.shade, 0) + coalesce(b.shade, 0), 1.0), 6) AS shade FROM rays LEFT JOIN sh_0 a USING (ray_id) LEFT JOIN sh_1 b USING (ray_id)")
 def ray_trace(t):
     return ry.trace(_rays(t), t.tris(), (2.0, 12.0, -10.0), (5.0, 5.0, -5.0), bounces=1).select("ray_id", r6("shade").alias("shade"))
 
 
+@query()
+def ray_trace_all(t):
+    """Triangles, spheres and cylinders together, one bounce, colored by height; tests hold the parts against arithmetic."""
+    scene = {"triangle": t.tris(), "sphere": t.spheres(), "cylinder": t.cylinders()}
+    out = ry.trace(_rays(t), scene, (2.0, 12.0, -10.0), (5.0, 5.0, -5.0), bounces=1, color=colors.color(F.col("pz") / 20.0, colors.TABLES["grey"])[0])
+    return out.select("ray_id", r6("shade").alias("shade"), r6("depth").alias("depth"))
+
+
 @query("SELECT user_id % 50 AS pixel, min(z) AS z, avg(value) AS value FROM (SELECT *, CAST(event_id % 17 AS DOUBLE) AS z, min(CAST(event_id % 17 AS DOUBLE)) OVER (PARTITION BY user_id % 50) AS m FROM events) WHERE z = m GROUP BY 1".replace("avg(value)", "round(avg(value), 6)"))
 def z_composite(t):
     e = t.events.select((F.col("user_id") % 50).alias("pixel"), (F.col("event_id") % 17).cast("double").alias("z"), "value")
@@ -826,7 +861,49 @@ def atom_pipeline(t: Tables, size: int = 40, value: float = 4.0) -> DataFrame:
     return inside.select("cell_id", "sub", *(F.col("nodes")[k].alias(f"n{k}") for k in range(3)))
 
 
-query(None, "atom_pipeline")(atom_pipeline)
+def _vox_end(e: str, side: int, steps: tuple[int, int, int]) -> str:
+    """SQL of a voxel's node at one end of local edge e, from its first node b."""
+    return f"CASE {e} " + " ".join(f"WHEN {i} THEN tr.b + {sum(d for bit, d in zip((1, 2, 4), steps) if ends[side] & bit)}" for i, ends in enumerate(EDGES[Shape.VOXEL])) + " END"
+
+
+query(
+    f"""WITH {CLOUD}, nd AS (SELECT n AS node_id, n % 40 AS i, (n // 40) % 40 AS j, n // 1600 AS k, (n % 40) * 0.5::DOUBLE AS x, ((n // 40) % 40) * 0.5::DOUBLE AS y, (n // 1600) * 2.5::DOUBLE AS z FROM (SELECT unnest(range(16000)) AS n)),
+fd AS (SELECT nd.*, d.f FROM nd JOIN (SELECT n.node_id, min(sqrt((n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y) + (n.z - c.z) * (n.z - c.z))) AS f FROM nd n, cl c WHERE c.node_id % 2 = 0 GROUP BY 1) d USING (node_id)),
+e AS (SELECT a.node_id AS a, b.node_id AS b, (4.0::DOUBLE - a.f) / (b.f - a.f) AS t, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM fd a JOIN (SELECT *, node_id - 1 AS m FROM fd WHERE i > 0 UNION ALL SELECT *, node_id - 40 FROM fd WHERE j > 0 UNION ALL SELECT *, node_id - 1600 FROM fd WHERE k > 0) b ON a.node_id = b.m WHERE (a.f < 4) <> (b.f < 4)),
+pts AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS point_id, a, b, ax + (bx - ax) * t AS x, ay + (by_ - ay) * t AS y FROM e),
+vc AS (SELECT c AS cell_id, c % 39 + 40 * ((c // 39) % 39) + 1600 * (c // 1521) AS b FROM (SELECT unnest(range(13689)) AS c)),
+cs AS (SELECT cell_id, any_value(b) AS b, CAST(sum(CASE WHEN f < 4 THEN 1 << o.slot ELSE 0 END) AS BIGINT) AS case_id FROM vc, (VALUES (0, 0), (1, 1), (2, 40), (3, 41), (4, 1600), (5, 1601), (6, 1640), (7, 1641)) o(slot, d) JOIN fd ON fd.node_id = vc.b + o.d GROUP BY 1),
+tr AS (SELECT cell_id, b, sub, e0, e1, e2 FROM cs JOIN {_case_values(Shape.VOXEL)} t(case_id, sub, e0, e1, e2) USING (case_id))
+SELECT cell_id, sub, p0.point_id AS n0, p1.point_id AS n1, p2.point_id AS n2 FROM tr """
+    + " ".join(f"JOIN pts p{k} ON p{k}.a = least({_vox_end(f'e{k}', 0, (1, 40, 1600))}, {_vox_end(f'e{k}', 1, (1, 40, 1600))}) AND p{k}.b = greatest({_vox_end(f'e{k}', 0, (1, 40, 1600))}, {_vox_end(f'e{k}', 1, (1, 40, 1600))})" for k in range(3))
+    + " WHERE " + " AND ".join(f"p{k}.x BETWEEN 0 AND 9 AND p{k}.y BETWEEN 0 AND 12" for k in range(3)),
+    "atom_pipeline",
+)(atom_pipeline)
+
+
+_ELEMENTS = "(VALUES ('H', 1, 0.32), ('C', 6, 0.77), ('O', 8, 0.73), ('FE', 26, 1.17), ('U', 92, 1.96), ('XX', 0, 0.1)) e(symbol, number, radius)"
+_RESIDUES = "(VALUES ('ALA', 1, 'A'), ('GLY', 7, 'G'), ('TRP', 20, 'W'), ('HOH', 0, '?')) r(name, number, letter)"
+
+
+@query(f"SELECT p_partkey, e.number, CAST(radius AS DOUBLE) AS covalent_radius, r.number AS residue_number, letter FROM part JOIN {_ELEMENTS} ON symbol = list_extract(['H', 'C', 'O', 'FE', 'U', 'XX'], p_partkey % 6 + 1) JOIN {_RESIDUES} ON name = list_extract(['ALA', 'GLY', 'TRP', 'HOH'], p_partkey % 4 + 1)")
+def atom_properties(t):
+    """Parts as atoms of six elements (one unknown) and four residues."""
+    k = F.col("p_partkey")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), k % len(names))
+    atoms = t.part.select("p_partkey", pick(["H", "C", "O", "FE", "U", "XX"]).alias("element"), pick(["ALA", "gly", "TRP", "HOH"]).alias("restype"))
+    return ch.with_residues(ch.with_elements(atoms)).select("p_partkey", "number", "covalent_radius", "residue_number", "letter")
+
+
+@query(f"""WITH vs AS ({SQL['volume_sample']}), r AS (SELECT min(s) AS lo, max(s) AS hi FROM vs), n AS (SELECT x, y, z, (s - lo) / (hi - lo) AS v FROM vs, r), a AS (SELECT *, 0.02::DOUBLE * exp(-(v - 0.5) * (v - 0.5) / (2 * 0.13::DOUBLE * 0.13::DOUBLE)) AS a FROM n),
+w AS (SELECT *, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0) AS through FROM a)
+SELECT x, y, round(sum(v * a * through), 6) AS color, round(1 - exp(sum(ln(1 - a))), 6) AS opacity FROM w GROUP BY 1, 2""")
+def volume_render(t):
+    """The whole chain: tetrahedra, samples of their lattice, a transfer function, and one color a pixel."""
+    s = volume_sample(t)
+    r = s.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    v = s.join(F.broadcast(r)).select("x", "y", "z", ((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))  # r is one row
+    c = ry.composite(v, ["x", "y"], "z", "v", ry.gaussian_opacity(F.col("v")))
+    return c.select("x", "y", r6("color").alias("color"), r6("opacity").alias("opacity"))
 
 
 # --- more of the primitives, fields and images -----------------------------------------------------

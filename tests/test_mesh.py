@@ -210,3 +210,110 @@ def test_polygons(spark):
     assert ids(tp.triangles(cells), "cell_id", "nodes") == [(0, [0, 1, 2]), (0, [0, 2, 3]), (0, [0, 3, 4]), (1, [5, 6, 7]), (1, [6, 7, 8])]
     assert tp.cell_edges(cells.where("shape = 11")).count() == 5
     assert sel.box(cells, spark.range(9).select(F.col("id").alias("node_id"), F.col("id").cast("double").alias("x")), {"x": (0, 4)}).first().cell_id == 0
+
+
+def test_layout_is_the_textbook_one(spark):
+    """Five rounds against numpy: every pair pushes, edges pull, gravity draws to the middle, moves are cut to the limit."""
+    n, k = 9, (1.0 / 9) ** 0.5
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    pairs = [(i, (i * 2 + 1) % n) for i in range(n)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    u = lambda salt: F.pmod(F.xxhash64("node_id", F.lit(1), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20) - 0.5
+    at = np.array([[r.x, r.y] for r in nodes.select("node_id", u(1).alias("x"), u(2).alias("y")).orderBy("node_id").collect()])
+    for r in range(5):
+        limit, new = 0.005 ** (r / 4), at.copy()
+        for i in range(n):
+            move = -0.3 / k * at[i]
+            for j in range(n):
+                d = at[i] - at[j]
+                move = move + d * k * k / max(d @ d, 1e-12)
+            for a, b in pairs:
+                if a != b and i in (a, b):
+                    d = at[b if i == a else a] - at[i]
+                    move = move + d * np.sqrt(d @ d) / k
+            size = np.sqrt(move @ move)
+            new[i] = at[i] + move / max(size, 1e-12) * min(size, limit)
+        at = new
+    got = np.array([[r.newx, r.newy] for r in geo.graph_layout(nodes, edges, rounds=5).orderBy("node_id").collect()])
+    assert np.allclose(got, at, atol=1e-9)
+
+
+def test_distance_of_no_nodes_equal_nodes_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(cp, "SMALL_CLOUD", 3)
+    cloud = spark.createDataFrame([(float(i), float(i % 3)) for i in range(20)], "x double, y double")
+    nodes = spark.createDataFrame([(1, 0.5, 0.0), (1, 0.5, 0.0), (2, 100.0, 0.0), (3, None, 1.0)], "node_id long, x double, y double")
+    assert cp.distance_field(nodes.limit(0), cloud, ("x", "y")).collect() == []
+    got = sorted(cp.distance_field(nodes, cloud, ("x", "y")).collect(), key=lambda r: r.node_id)
+    assert [r.node_id for r in got] == [1, 1, 2, 3] and got[0] == got[1] and got[0].dist == 0.5 and got[3].dist is None
+    assert got[2].dist == pytest.approx(min(math.hypot(100 - i, i % 3) for i in range(20)))
+
+
+def test_ray_without_direction_misses_in_both_ways(spark):
+    rays = spark.createDataFrame([(0, 0.1, 0.1, -1.0, 0.0, 0.0, 0.0), (1, 0.1, 0.1, -1.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    tri = spark.createDataFrame([(5, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)], "idx long, " + ", ".join(f"{p}{a} double" for p in "abc" for a in "xyz"))
+    for small in (10, 0):
+        assert [r.idx for r in ry.nearest(rays, {"triangle": tri}, small=small).orderBy("ray_id").collect()] == [-1, 5]
+
+
+def test_polygons_have_surfaces_and_unknown_shapes_raise(spark):
+    """A polygon is cut as its fan: the crossing points of its edges are those of the fan's rim."""
+    ring = [(math.cos(2 * math.pi * k / 7), math.sin(2 * math.pi * k / 7)) for k in range(7)]
+    points = spark.createDataFrame([(k, *map(float, p), float(p[0])) for k, p in enumerate(ring)], "node_id long, x double, y double, v double")
+    cells = spark.createDataFrame([(4, 11, list(range(7))), (5, 10, [0, 1, 2, 3])], "cell_id long, shape int, nodes array<long>")
+    p, c = geo.isosurface(points, cells, "v", 0.1, ("x", "y"))
+    rows = c.where("cell_id = 4").collect()
+    assert rows and all(r["shape"] == 1 for r in rows) and len({r.sub for r in rows}) == len(rows)
+    rim = {r.point_id for r in p.collect() if (r.b - r.a) in (1, 6)}
+    ends = [n for r in rows for n in r.nodes]
+    assert {n for n in ends if ends.count(n) == 1} <= rim and p.where("abs(x - 0.1) > 1e-9").isEmpty()
+    assert not c.where("cell_id = 5").isEmpty()
+    with pytest.raises(ValueError):
+        geo.isosurface(points, cells.withColumn("shape", F.lit(12)), "v", 0.1)
+
+
+def test_edges_of_polygons_of_any_size_keep_cell_order(spark):
+    big = [(0, 11, list(range(100))), (1, 11, list(range(100, 170)))]
+    got = tp.edges(spark.createDataFrame(big, "cell_id long, shape int, nodes array<long>")).orderBy("edge_id").collect()
+    want = [tuple(sorted((c[2][k], c[2][(k + 1) % len(c[2])]))) for c in big for k in range(len(c[2]))]
+    assert [(r.a, r.b) for r in got] == want
+
+
+def test_blending_by_slabs(spark):
+    """Slabs of any depth give the blend of one list, nearest sample last."""
+    rng = np.random.default_rng(5)
+    rows = [(int(p), float(z), float(v), float(a)) for p, z, v, a in zip(rng.integers(0, 3, 300), rng.permutation(3000)[:300] - 1500, rng.random(300), rng.random(300) * 0.2)]
+    df = spark.createDataFrame(rows, "pixel int, z double, v double, a double")
+    want = {}
+    for p in range(3):
+        c = o = 0.0
+        for _, _, v, a in sorted((r for r in rows if r[0] == p), key=lambda r: -r[1]):
+            c, o = c * (1 - a) + v * a, o * (1 - a) + a
+        want[p] = (c, o)
+    for slab in (7, 256, 10_000):
+        for r in ry.composite(df, ["pixel"], "z", "v", F.col("a"), slab=slab).collect():
+            assert (r.color, r.opacity) == pytest.approx(want[r.pixel])
+    assert ry.composite(df.limit(0), ["pixel"], "z", "v", F.col("a")).collect() == []
+
+
+def test_closest_images_and_their_background(spark):
+    rows = [(0, 1.0, 0.0), (0, 1.0, 4.0), (0, 1.0, 6.0), (0, 2.0, 9.0), (1, 3.0, 0.0), (1, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "pixel int, z double, v double")
+    assert sorted(map(tuple, ry.z_composite(df, "pixel", "z", "v").collect())) == [(0, 1.0, 10 / 3), (1, 3.0, 0.0)]
+    assert sorted(map(tuple, ry.z_composite(df, "pixel", "z", "v", background=(0.0,)).collect())) == [(0, 1.0, 5.0), (1, 3.0, 0.0)]
+
+
+def test_traced_sphere_and_cylinder(spark):
+    """Light and eye in front of each thing: the shade is ambient + 0.9 (diffuse + specular), and materials change it."""
+    rays = spark.createDataFrame([(0, 0.0, 0.0, -5.0, 0.0, 0.0, 1.0), (1, 10.0, 0.0, -5.0, 0.0, 0.0, 1.0), (2, 50.0, 0.0, -5.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    ball = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 1.0)], "idx long, cx double, cy double, cz double, r double")
+    rod = spark.createDataFrame([(8, 10.0, -2.0, 0.0, 0.0, 1.0, 0.0, 4.0, 0.5)], "idx long, bx double, by double, bz double, ax double, ay double, az double, h double, r double")
+    scene = {"sphere": ball, "cylinder": rod}
+    hits = ry.hit_normals(ry.hit_points(rays, ry.nearest(rays, scene)), scene).orderBy("ray_id").collect()
+    assert [(r.kind, r.idx, r.nx, r.ny, r.nz) for r in hits] == [("sphere", 7, 0, 0, -1), ("cylinder", 8, 0, 0, -1)]
+    for x, k in ((0.0, 0), (10.0, 1)):
+        got = ry.trace(rays, scene, (x, 0.0, -20.0), (x, 0.0, -5.0), bounces=0).orderBy("ray_id").collect()
+        assert got[k].shade == pytest.approx(min(1.0, 0.2 + 0.9 * (0.6 + 0.3))) and got[k].depth == pytest.approx((4.0, 4.5)[k])
+        assert (got[2].shade, got[2].depth) == (0.0, None)
+    dull = spark.createDataFrame([("sphere", 7, 0.1, 0.2, 0.0, 1.0)], "kind string, idx long, ambient double, diffuse double, specular double, shine double")
+    got = ry.trace(rays, scene, (0.0, 0.0, -20.0), (0.0, 0.0, -5.0), bounces=0, materials=dull, color=F.lit(0.5)).orderBy("ray_id").collect()
+    assert got[0].shade == pytest.approx(0.5 * (0.1 + 0.9 * 0.2))

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from fieldloom.plans import files  # noqa: F401  adds its queries
 from fieldloom.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
