@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.shared import settle, shared_path
 
-__all__ = ["bucket", "buffers", "id_cuts", "key_text", "one_of_each", "settle", "shared_path", "slices", "whole_rows", "with_group"]
+__all__ = ["bucket", "buffers", "id_cuts", "key_text", "literal", "one_of_each", "settle", "shared_path", "slices", "whole_rows", "with_group"]
 
 #: Text bytes that one vectorised step handles at a time in a Python worker.
 STEP_BYTES = 4 << 20
@@ -74,8 +75,22 @@ def id_cuts(ids: DataFrame, rows: int, most: int) -> list[int]:
     return sorted(set(ids.agg(F.percentile_approx(ids.columns[0], [j / k for j in range(1, k)], 10 * k)).first()[0] or []))
 
 
+#: Values that one step of bucket() compares with.
+_WIDE = 64
+
+
+def literal(values: list, kind: str) -> Column:
+    """A constant array of a SQL type, of any length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def bucket(col: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are under the value: 0..len(cuts), by halving."""
+    """How many of the sorted cuts are under the value: 0..len(cuts), by halving; many cuts are looked up in blocks of _WIDE."""
+    if len(cuts) > _WIDE:
+        blocks = [cuts[i : i + _WIDE] for i in range(0, len(cuts), _WIDE)]
+        at = bucket(col, [x[-1] for x in blocks])
+        inside = F.size(F.filter(F.coalesce(F.get(literal(blocks, "array<long>"), at), F.array().cast("array<long>")), lambda c: c < col))
+        return F.when(at == len(blocks), len(cuts)).otherwise(at * _WIDE + inside)
 
     def half(lo: int, hi: int) -> Column:
         if lo == hi:

@@ -14,13 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, id_cuts, key_text, slices
+from .common import bucket, id_cuts, key_text, literal, slices
 from .texthash import prefix, spans
 
 #: Bytes a gram, grams a window.
 GRAM, WINDOW = 24, 32
 #: Rows aimed at for each range of ids that one task walks in order, and the most ranges (rows a range grow beyond that).
-RANGE_ROWS, RANGES = 5_000, 4096
+RANGE_ROWS, RANGES = 5_000, 1 << 18
 
 
 def fingerprint(data: bytes, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -102,24 +102,31 @@ def compare_edited(docs: DataFrame, k: int = GRAM, w: int = WINDOW, id_col: str
     """Fingerprint of each text and of its edited text, and likenesses to the edited and the next text, by falling doc_id.
 
     The next of the last document is the first; a single document is its own next. Null ids come last; rows with equal ids
-    follow each other by the text's hash. Texts are moved once: rows are dealt out by ranges of doc_id, and the first row of
+    follow each other by the text's hash, and rows that repeat both are documents of their own. Null and empty texts have no
+    grams, equal fingerprints and likeness 1. Empty input gives no rows; other columns are not carried. Texts are moved once: rows are dealt out by ranges of doc_id, and the first row of
     each range goes to the range before it too, as that one's last successor.
     """
-    spark = docs.sparkSession
-    rows = key_text(docs, id_col, text_col)
+    rows = key_text(docs, id_col, text_col).withColumn("order", F.xxhash64("text"))
     ids = docs.select(docs[id_col].cast("long").alias("i"))
-    cuts = id_cuts(ids, RANGE_ROWS, RANGES)
-    # ranges by falling id: part 0 holds the largest; -1 stands for null
-    part = F.when(F.col("i").isNull(), len(cuts)).otherwise(len(cuts) - bucket(F.col("i"), cuts)) if cuts else F.lit(0)
-    # the ids at the head of each range: one a range; all rows with that id are sent, and the walk takes the first of them
-    heads = sorted((r.part, r.head) for r in ids.withColumn("part", part).groupBy("part").agg(F.max("i").alias("head")).collect())
-    before = {p: heads[j - 1][0] for j, (p, _) in enumerate(heads)}
-    to = F.create_map(*[F.lit(x) for p, q in before.items() for x in (p, q)]) if heads else F.create_map(F.lit(0), F.lit(0))
-    head = F.create_map(*[x for p, h in heads for x in (F.lit(p), F.lit(h).cast("long"))]) if heads else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    rows = rows.withColumn("i", F.col("doc_id")).withColumn("part", part).withColumn("order", F.xxhash64("text"))
+    cuts = id_cuts(ids.where("i is not null"), RANGE_ROWS, RANGES)
+    # null ids have ranges of their own, by the text's hash: its values are spread evenly over 64 bits
+    lost = min(RANGES, -(-ids.where("i is null").count() // RANGE_ROWS))
+    by_hash = [-(1 << 63) + (1 << 64) * j // lost for j in range(1, lost)]
+    # ranges by falling id: part 0 holds the largest
+    known = len(cuts) - bucket(F.col("i"), cuts)
+    part = F.when(F.col("i").isNull(), len(cuts) + 1 + bucket(F.col("order"), by_hash)).otherwise(known).cast("int")
+    # what stands at the head of each range, one row a range: all rows with that id (or hash) are sent, and the walk takes the first of them
+    first = [(r.part, r.head) for r in ids.where("i is not null").groupBy(known.cast("int").alias("part")).agg(F.max("i").alias("head")).collect()]
+    nulls = rows.where("doc_id is null").withColumn("i", F.col("doc_id")).groupBy(part.alias("part")).agg(F.min("order").alias("head")).collect() if lost else []
+    heads = sorted(first) + sorted((r.part, r.head) for r in nulls)
+    before, head = [0] * (len(cuts) + 1 + lost), [None] * (len(cuts) + 1 + lost)
+    for j, (p, h) in enumerate(heads):
+        before[p], head[p] = heads[j - 1][0], h
+    rows = rows.withColumn("i", F.col("doc_id")).withColumn("part", part)
     own = F.struct(F.col("part"), F.lit(False).alias("ghost"))
-    extra = F.struct(to[F.col("part")].alias("part"), F.lit(True).alias("ghost"))
-    sent = rows.withColumn("at", F.explode(F.when(F.col("i").eqNullSafe(head[F.col("part")]), F.array(own, extra)).otherwise(F.array(own))))
-    sent = sent.select("doc_id", "text", "order", "at.part", "at.ghost").repartitionById(len(cuts) + 1, F.col("part").cast("int"))
+    extra = F.struct(F.get(literal(before, "int"), F.col("part")).alias("part"), F.lit(True).alias("ghost"))
+    leads = F.coalesce(F.col("i"), F.col("order")) == F.get(literal(head, "long"), F.col("part"))
+    sent = rows.withColumn("at", F.explode(F.when(leads, F.array(own, extra)).otherwise(F.array(own))))
+    sent = sent.select("doc_id", "text", "order", "at.part", "at.ghost").repartitionById(len(before), F.col("part"))
     sent = sent.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "order", "text").select("part", "doc_id", "text", "ghost")
     return sent.mapInArrow(_walk(k, w), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from fieldloom.llm import winnow as w
+from fieldloom.llm.common import bucket
 
 
 def plain(data, k, win):
@@ -61,3 +64,24 @@ def test_tables(odd, odd_rows, none, monkeypatch):
     one = w.compare_edited(odd.where("doc_id = 3")).first()
     assert one.near_next == 1.0
     assert w.fingerprints(odd.where("doc_id is null or doc_id = 200")).count() == 2
+
+
+def test_null_ids_have_ranges_of_their_own(spark, monkeypatch):
+    """A third of the ids are null: their successors follow by hash, across many ranges."""
+    monkeypatch.setattr(w, "RANGE_ROWS", 2)
+    rng = random.Random(9)
+    rows = [(None if k % 3 == 0 else k, "".join(rng.choices("abc ", k=rng.randint(0, 80)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), key[r], r[1]))
+    shas = [hashlib.sha256(w.edited(a[1], b[1]).encode()).hexdigest() for a, b in zip(want, [*want[1:], want[0]])]
+    got = w.compare_edited(df).collect()
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in got) == sorted((i or -1, len(t), h) for (i, t), h in zip(want, shas))
+
+
+def test_buckets(spark):
+    cuts = sorted({k * k - 9000 for k in range(1, 20_000)})
+    df = spark.createDataFrame([(x,) for x in (-(10**9), -9000, -8999, -8998, 0, 1, 77, 10**6, cuts[63], cuts[64], cuts[64] + 1, cuts[-1], cuts[-1] + 1)], "x long")
+    out = df.select("x", bucket(F.col("x"), cuts).alias("b"))
+    assert [(r.x, r.b) for r in out.collect()] == [(r.x, sum(c < r.x for c in cuts)) for r in df.collect()]
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()[:100_000]  # constants are read once
