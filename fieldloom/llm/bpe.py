@@ -243,7 +243,8 @@ def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """doc_id, n_tokens, ids array<int>, decoded binary (the UTF-8 bytes that the ids decode to) of each row.
 
     Each match of pattern is encoded by itself by the ranks in the file at path; null and empty texts have no ids.
-    A piece of any length takes O(n log n) steps. Rows are neither moved nor dropped; other columns are not carried.
+    A piece of any length takes O(n log n) steps; of equal least ranks the leftmost pair is merged. Rows are neither moved nor
+    dropped: rows that repeat and null ids are rows of their own. Other columns are not carried; empty input gives no rows.
     """
     return key_text(docs, id_col, text_col).mapInArrow(_mapper(path, pattern, True), "doc_id long, n_tokens long, ids array<int>, decoded binary")
 

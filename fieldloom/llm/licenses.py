@@ -217,7 +217,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     n_base counts the places of the phrases, first_word and last_word are their least and largest first words (null without
     any). matches has each block (a line, or a paragraph of several lines) with a template's containment; a block with over
     `loose` times the template's tokens counts if a run of that many of its words holds the template, and the best run stands for it. labels are those of
-    phrases and matches; score is 1 with a phrase, else the best containment, else 0. Null and empty texts have no words.
+    phrases and matches; score is 1 with a phrase, else the best containment, else 0. Null and empty texts have no words, labels
+    or places. Templates held to the same share all give their label. Rows that repeat, and null ids, are rows of their own;
+    other columns are not carried; empty input gives no rows.
     """
     t = Templates(templates, threshold, loose)
     rows = key_text(docs, id_col, text_col)

@@ -116,3 +116,41 @@ def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
     assert [junk[r.doc_id][:40] for r in got if not r.rejected] == []
     held = docs.where((x.fold(docs, 3) == 1) & F.col("text").rlike(r"\p{L}"))
     assert x.predict(held, model).where("rejected").count() <= 0.01 * held.count()
+
+
+def plain_counts(text):
+    """Buckets of hashed n-grams, one at a time."""
+    line = [32]
+    for b in text.lower().encode():
+        b = b if b >= 128 or 97 <= b <= 122 else 32
+        if b != 32 or line[-1] != 32:
+            line.append(b)
+    out = {}
+    for k in x.GRAMS:
+        for i in range(len(line) - k + 1):
+            h = 0
+            for b in line[i : i + k]:
+                h = (h * 0x01000193 + b + 1) & 0xFFFFFFFF
+            bucket = ((h * int(x._ODD[k - 1])) & 0xFFFFFFFF) >> 20
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_nearest_centroid_matches_brute_force(spark):
+    """Predictions against a loop over texts, n-grams and centroids in plain Python."""
+    import math
+
+    df = table(spark, 150)
+    model = x.fit(df, x.fold(df, 3) != 1)
+    got = {r.doc_id: r for r in x.predict(df, model).collect()}
+    for r in df.collect():
+        v = {b: math.log1p(n) * float(model.idf[b]) for b, n in plain_counts(r.text).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        near = [sum(w * float(c[b]) for b, w in v.items()) / norm for c in model.centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert got[r.doc_id].lang_pred == model.langs[model.lang_of[best]] and got[r.doc_id].score == pytest.approx(min(1.0, near[best]), abs=1e-4)
+    # the idf counts every training text
+    train = [r for r in df.where(x.fold(df, 3) != 1).collect() if r.lang is not None]
+    sets = [set(plain_counts(r.text)) for r in train]
+    for b in random.Random(1).sample(sorted(set().union(*sets)), 50):
+        assert float(model.idf[b]) == pytest.approx(math.log((1 + len(sets)) / (1 + sum(b in s for s in sets))) + 1, abs=1e-4)

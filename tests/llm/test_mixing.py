@@ -52,3 +52,32 @@ def test_stage(odd, none):
     times = m._draws(odd).select("doc_id", "h", "epoch").distinct().count()
     assert times <= m.mixed(odd).count() <= times + 20
     assert m.draw(none).collect() == [] and m.mixed(none).collect() == []
+
+
+def test_draws_match_brute_force(spark):
+    """Every draw against one list a source, shuffled by the same keys and cut at the quota."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["a", "a", "a", "b", None])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens, docs = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        tokens[s] += words(t)
+        docs[s] += 1
+    p = m.plan(dict(tokens), sum(tokens.values()))
+    passes = 1 + max(p.quota[s] // t for s, t in tokens.items())
+    keys = df.select("doc_id", "source", F.xxhash64("text").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes).cast("long"))).alias("epoch"))
+    key = {(r.epoch, r.doc_id): r.k for r in keys.select("epoch", "doc_id", F.xxhash64(F.lit(m.SEED), "epoch", "source", "doc_id", "h").alias("k")).collect()}
+    want = set()
+    for s in tokens:
+        blocks = -(-docs[s] // m.BLOCK_ROWS)
+        for e in range(p.quota[s] // tokens[s] + 1):
+            at = e * tokens[s]
+            for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (key[e, r[0]] % blocks, key[e, r[0]], r[0])):
+                if at + words(t) <= p.quota[s]:
+                    want.add((i, e, at))
+                at += words(t)
+    assert {(r.doc_id, r.epoch, r.start) for r in m.draw(df).collect()} == want
