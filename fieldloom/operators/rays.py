@@ -54,25 +54,30 @@ def candidates(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, s
         return rays.join(F.broadcast(prims))
     boxes = _boxes(prims, kind)
     ext = prims.agg(*(F.min(lo).alias(f"l{a}") for (lo, _), a in zip(boxes, "xyz")), *(F.max(hi).alias(f"h{a}") for (_, hi), a in zip(boxes, "xyz"))).first()
-    nb = int(min(BINS, max(4, round(n ** (1 / 3)))))
-    low = [ext[f"l{a}"] for a in "xyz"]
-    width = [max((ext[f"h{a}"] - ext[f"l{a}"]) / nb, 1e-12) for a in "xyz"]
-    cell = lambda c, k: F.least(F.greatest(F.floor((c - low[k]) / width[k]), F.lit(-1)), F.lit(nb)).cast("int")
+    low, size = [ext[f"l{a}"] for a in "xyz"], [max(ext[f"h{a}"] - ext[f"l{a}"], 1e-9) for a in "xyz"]
+    wide = [s for s in size if s > 1e-6 * max(size)]  # cells are as wide as high, about one a primitive; flat axes have one
+    edge = max((math.prod(wide) / n) ** (1 / len(wide)), max(size) / BINS)
+    nb = [max(1, round(s / edge)) for s in size]
+    width = [s / k for s, k in zip(size, nb)]
+    steps = [max(1, math.ceil(s / edge)) for s in size]  # a ray is cut along its main axis into pieces no longer than a cell
+    cell = lambda c, k: F.least(F.greatest(F.floor((c - low[k]) / width[k]), F.lit(-1)), F.lit(nb[k])).cast("int")
     p = prims
     for k, (lo, hi) in enumerate(boxes):
-        p = p.withColumn(f"_b{k}", F.explode(F.sequence(F.greatest(cell(lo, k), F.lit(0)), F.least(F.greatest(cell(hi, k), F.lit(0)), F.lit(nb - 1)))))
+        p = p.withColumn(f"_b{k}", F.explode(F.sequence(F.greatest(cell(lo, k), F.lit(0)), F.least(F.greatest(cell(hi, k), F.lit(0)), F.lit(nb[k] - 1)))))
     o, d = _ray()
-    size = [F.abs(x) for x in d]
-    major = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2)
-    r = rays.withColumn("_m", major).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    mag = [F.abs(x) for x in d]
+    major = F.when((mag[0] >= mag[1]) & (mag[0] >= mag[2]), 0).when(mag[1] >= mag[2], 1).otherwise(2)
     pick = lambda v: F.when(F.col("_m") == 0, v[0]).when(F.col("_m") == 1, v[1]).otherwise(v[2])
-    edge = pick([F.lit(x) for x in low]) + F.col("_k") * pick([F.lit(x) for x in width])
-    t1, t2 = F.try_divide(edge - pick(o), pick(d)), F.try_divide(edge + pick([F.lit(x) for x in width]) - pick(o), pick(d))  # a ray without direction meets nothing
+    r = rays.withColumn("_m", major)
+    r = r.withColumn("_k", F.explode(F.sequence(F.lit(0), pick([F.lit(k - 1) for k in steps]))))
+    step = pick([F.lit(s / k) for s, k in zip(size, steps)])
+    at = pick([F.lit(x) for x in low]) + F.col("_k") * step
+    t1, t2 = F.try_divide(at - pick(o), pick(d)), F.try_divide(at + step - pick(o), pick(d))  # a ray without direction meets nothing
     r = r.withColumn("_t0", F.greatest(F.least(t1, t2), F.lit(0.0))).withColumn("_t1", F.least(F.greatest(t1, t2), F.lit(far))).where("_t1 >= _t0")
     for k in range(3):
         a, b = o[k] + d[k] * F.col("_t0"), o[k] + d[k] * F.col("_t1")
         slack = F.lit(width[k] * 1e-9)
-        lo, hi = F.greatest(cell(F.least(a, b) - slack, k), F.lit(0)), F.least(cell(F.greatest(a, b) + slack, k), F.lit(nb - 1))
+        lo, hi = F.greatest(cell(F.least(a, b) - slack, k), F.lit(0)), F.least(cell(F.greatest(a, b) + slack, k), F.lit(nb[k] - 1))
         r = r.withColumn(f"_r{k}", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
     joined = r.join(p, (F.col("_r0") == F.col("_b0")) & (F.col("_r1") == F.col("_b1")) & (F.col("_r2") == F.col("_b2")))
     return joined.drop("_m", "_k", "_t0", "_t1", *(f"_{x}{k}" for x in "rb" for k in range(3)))

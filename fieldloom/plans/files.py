@@ -94,13 +94,13 @@ def particle_dump(t):
     return fm.read(t.spark, _put(t, "a.dump", text)).points.select("node_id", "id", "type", r6("x").alias("x"), "y", "z")
 
 
-@query("SELECT s_suppkey AS node_id, round(round(s_acctbal / 1000, 3), 6) AS x, CAST(s_suppkey % 10 AS DOUBLE) AS y, CASE WHEN s_suppkey % 3 = 0 THEN 'N' ELSE 'C' END AS element, CAST(s_suppkey // 4 % 1000 AS BIGINT) AS resseq, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS backbone FROM supplier")
+@query("SELECT s_suppkey AS node_id, round(s_acctbal / 10, 6) AS x, CAST(s_suppkey % 10 AS DOUBLE) AS y, CASE WHEN s_suppkey % 3 = 0 THEN 'N' ELSE 'C' END AS element, CAST(s_suppkey // 4 % 1000 AS BIGINT) AS resseq, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS backbone FROM supplier")
 def protein_atoms(t):
     """Suppliers as ATOM lines."""
     rows = _suppliers(t)
     line = "ATOM  {:5d} {:4s} GLY A{:4d}    {:8.3f}{:8.3f}{:8.3f}{:6.2f}{:6.2f}          {:>2s}\n"
     kind = lambda k: (" N", "N") if k % 3 == 0 else (" CB", "C")
-    text = "".join(line.format(r.node_id % 100_000, kind(r.node_id)[0], r.node_id // 4 % 1000, r.x, r.y, r.z, 1, 2, kind(r.node_id)[1]) for r in rows)
+    text = "".join(line.format(r.node_id % 100_000, kind(r.node_id)[0], r.node_id // 4 % 1000, r.x * 100, r.y, r.z, 1, 2, kind(r.node_id)[1]) for r in rows)
     return fm.read(t.spark, _put(t, "a.pdb", text + "END\n")).points.select("node_id", r6("x").alias("x"), "y", "element", "resseq", "backbone")
 
 

@@ -20,8 +20,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in this application's own part of it."""
+    return f"{shared_root(spark)}/fieldloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written down so far; results that are not yet computed or stored elsewhere go with it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/fieldloom-{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settle(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -47,7 +47,7 @@ def read_bricks(spark: SparkSession, path: str, data_dir: str | None = None) ->
     name = h.get("VARIABLE", "data")
     floats = lambda k, d: [float(x) for x in h.get(k, d).split()]
     origin = floats("BRICK_ORIGIN", "0 0 0")
-    axes = [floats("BRICK_X_AXIS", "1 0 0")[0], floats("BRICK_Y_AXIS", "0 1 0")[1], floats("BRICK_Z_AXIS", "0 0 1")[2]]
+    axes = [floats("BRICK_X_AXIS", "1 0 0"), floats("BRICK_Y_AXIS", "0 1 0"), floats("BRICK_Z_AXIS", "0 0 1")]
     parts = [s // b for s, b in zip(size, small)]
     n_chunk = int(np.prod(small))
     folder = data_dir or path.rsplit("/", 1)[0]
@@ -79,9 +79,10 @@ def read_bricks(spark: SparkSession, path: str, data_dir: str | None = None) ->
 
     dims = tuple(s + 1 for s in size) if zonal else size
     grid = GridSpec(dims)
-    span = [a / max(d - 1, 1) for a, d in zip(axes, dims)]
     nodes = g.nodes(spark, grid)
-    points = nodes.select("node_id", *((F.lit(o) + F.col(c) * s).alias(x) for o, s, c, x in zip(origin, span, "ijk", "xyz")))
+    # each index goes along its own axis, whatever way that points
+    along = lambda k: sum((F.col(c) * F.lit(a[k] / max(d - 1, 1)) for c, a, d in zip("ijk", axes, dims) if a[k]), F.lit(origin[k]))
+    points = nodes.select("node_id", *(along(k).alias(x) for k, x in enumerate("xyz")))
     cells = g.cells(spark, grid)
     v = values.select(F.col("id").alias("_id"), F.col("v").alias(name), "chunk")
     if zonal:

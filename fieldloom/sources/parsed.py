@@ -110,6 +110,8 @@ def _tables(table: str, name: str | None, parse: Parser, columns: list[str]):
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 for m in parse(content):
                     cols = one(m)
+                    if set(cols) - set(columns):
+                        raise ValueError(f"{path} has {sorted(set(cols) - set(columns))}, which the first file has not")
                     n = len(next(iter(cols.values()))) if cols else 0
                     if n:
                         cols |= {"chunk": pa.array([path] * n), "time": pa.array([m.time] * n, pa.float64())}

@@ -164,3 +164,35 @@ def test_series_and_choice(spark, tmp_path):
         fm.read(spark, "x.silo")
     with pytest.raises(ValueError):
         fm.read(spark, "x.unknown")
+
+
+def test_sheared_brick(spark, tmp_path):
+    (tmp_path / "d.raw").write_bytes(np.arange(8, dtype="<f4").tobytes())
+    (tmp_path / "a.bov").write_text("DATA_FILE: d.raw\nDATA_SIZE: 2 2 2\nDATA_FORMAT: FLOAT\nVARIABLE: v\nBRICK_ORIGIN: 1 2 3\nBRICK_X_AXIS: 1 1 0\nBRICK_Y_AXIS: -1 1 0\nBRICK_Z_AXIS: 0 0.5 2\n")
+    got = {r.node_id: (r.x, r.y, r.z) for r in fm.read(spark, f"{tmp_path}/a.bov").points.collect()}
+    assert got[0] == (1, 2, 3) and got[1] == (2, 3, 3) and got[2] == (0, 3, 3) and got[4] == (1, 2.5, 5) and got[7] == (1, 4.5, 5)
+
+
+def test_a_field_that_the_first_file_lacks_raises(spark, tmp_path):
+    step = "ITEM: TIMESTEP\n0\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS\n0 1\n0 1\n0 1\nITEM: ATOMS id type x y z{}\n1 1 0 0 0{}\n"
+    (tmp_path / "a.dump").write_text(step.format("", ""))
+    (tmp_path / "b.dump").write_text(step.format(" q", " 5"))
+    with pytest.raises(Exception, match="which the first file has not"):
+        fm.load(spark, f"{tmp_path}/*.dump", fm.parse_dump).points.collect()
+
+
+def test_grids_are_written_by_structure(spark, tmp_path):
+    data, _ = cube()
+    (tmp_path / "a.vtk").write_bytes(data)
+    ds = fm.read(spark, f"{tmp_path}/a.vtk")
+    text = vtk.text(ds)
+    assert "DATASET RECTILINEAR_GRID" in text and "group 1 1 double\n7.0" in text
+    bent = type(ds)(ds.points.withColumn("y", F.col("y") + F.col("x") * 0.1), ds.cells, ds.whole, ds.fields, ds.grid)
+    vtk.write(bent, f"{tmp_path}/b.vtk")
+    back = fm.read(spark, f"{tmp_path}/b.vtk")
+    assert "DATASET STRUCTURED_GRID" in vtk.text(bent) and back.grid.dims == (4, 4, 4) and back.whole.first().group == 7.0
+    for a, b in ((bent.points, back.points), (bent.cellset(), back.cellset())):
+        key = a.columns[0]
+        x, y = (df.drop("chunk", "time").orderBy(key).toPandas() for df in (a, b))
+        assert list(x.columns) == list(y.columns) and all(np.allclose(np.array(x[c].tolist(), float), np.array(y[c].tolist(), float)) for c in x.columns)
+    assert "DATASET UNSTRUCTURED_GRID" in vtk.text(type(ds)(ds.points, {"some": ds.cellset().where("cell_id < 5")}, None, ds.fields, ds.grid))
