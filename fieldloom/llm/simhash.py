@@ -373,18 +373,24 @@ def wide_links(distinct: DataFrame, similarity: float = NEAR) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the least node that each node of the edges (a, b) reaches, by alternating large-star and small-star rounds."""
+    """(node, root): the least node that each node of the edges (a, b) reaches, by alternating large-star and small-star rounds.
+
+    A node of many edges, such as the root of a large component, has its edges dealt out by their other end.
+    """
     spark = edges.sparkSession
     e = settle(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """pairs and the least v of each u."""
+        least = settle(spark, pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), name)
+        return with_group(pairs, least, "u", "n", "v")
+
     was = None
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = settle(spark, e, name)
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = settle(spark, e, name)
+        large = with_least(e.union(e.select("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        e = settle(spark, large.where("u <> v").distinct(), name)
+        small = with_least(e)
+        e = settle(spark, small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), name)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
