@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.matrix import legendre as legendre_number
 from fieldloom.model import DIMENSION, EDGES, FACES, Shape
 
+from .compute import corners
 from .primitives import dense_ids, scan
 from .topology import incidence, local_table, triangles
 
@@ -127,11 +129,29 @@ def isosurface(points: DataFrame, cells: DataFrame, field: str, value: float, no
     return out.select("point_id", "a", "b", "alpha", *mix), joined.select("cell_id", "sub", (F.size("ps") - 1).alias("shape"), F.transform("ps", lambda x: x["point_id"]).alias("nodes"), *carry)
 
 
-def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[str, ...] = ("x", "y", "z")) -> tuple[DataFrame, DataFrame]:
+def legendre_values(points: DataFrame, cells: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """cell_id, at (0: centroid, 1-4: middles of the edges, 5-8: corners in order) and each field of nine Legendre coefficients evaluated there.
+
+    Cells are quadrilaterals; values are divided by the longer side of the first edge's box, as such trees scale them. Others raise.
+    """
+    sides = corners(cells, points, 2, "x", "y")
+    p, q = F.col("p0"), F.col("p1")
+    size = F.greatest(F.abs(q["x"] - p["x"]), F.abs(q["y"] - p["y"]))
+    at = [(0, 0), (0, -1), (1, 0), (0, 1), (-1, 0), (-1, -1), (1, -1), (1, 1), (-1, 1)]
+    weights = [[float(legendre_number(i, x) * legendre_number(j, y)) for i in range(3) for j in range(3)] for x, y in at]
+    quad = F.col("shape").isin(int(Shape.QUAD), int(Shape.PIXEL)) | ((F.col("shape") == int(Shape.POLYGON)) & (F.size("nodes") == 4))
+    flat = cells.where("shape in (2, 3, 4, 11)").select("cell_id", *(F.when(quad, F.col(f)).otherwise(F.raise_error(F.lit("Legendre fields need quadrilaterals"))).alias(f) for f in fields))
+    value = lambda f, w: sum((F.col(f)[k] * F.lit(x) for k, x in enumerate(w) if x), F.lit(0.0)) / size
+    all_ = F.array(*[F.struct(F.lit(n).alias("at"), *(value(f, w).alias(f) for f in fields)) for n, w in enumerate(weights)])
+    return flat.join(sides, "cell_id").select("cell_id", F.explode(all_).alias("v")).select("cell_id", "v.*")
+
+
+def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[str, ...] = ("x", "y", "z"), legendre: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(points, quads): each two-dimensional cell is cut into a quad per edge by its centroid and its own edge midpoints.
 
     New ids start at n_points; by cell: the centroid, then midpoints in edge order. Quad j: centroid, midpoint j, the corner
-    after it, midpoint j + 1. New points' values are means of their nodes'.
+    after it, midpoint j + 1. New points' values are means of their nodes'. legendre: cell fields of nine coefficients, which become
+    nodal fields by evaluation (at a node of several cells, the last cell's).
     """
     n = F.size("nodes")
     ring = F.when(F.col("shape") == int(Shape.PIXEL), F.array(*[F.col("nodes")[k] for k in (0, 1, 3, 2)])).otherwise(F.col("nodes"))
@@ -146,7 +166,13 @@ def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[
         "cell_id", F.col("k").alias("sub"), F.lit(int(Shape.QUAD)).alias("shape"),
         F.array(F.col("first"), F.col("first") + 1 + F.col("k"), F.col("ring")[((F.col("k") + 1) % F.col("n")).cast("int")], F.col("first") + 1 + (F.col("k") + 1) % F.col("n")).alias("nodes"),
     )
-    return points.select("node_id", *nodal).unionByName(new), quads
+    out = points.select("node_id", *nodal).unionByName(new)
+    if legendre:
+        values = legendre_values(points, cells, legendre).join(flat.select("cell_id", "ring", "first"), "cell_id")
+        node = F.when(F.col("at") < 5, F.col("first") + F.col("at")).otherwise(F.get("ring", F.col("at") - 5))
+        last = values.groupBy(node.alias("node_id")).agg(F.max_by(F.struct(*legendre), "cell_id").alias("v")).select("node_id", "v.*")
+        out = out.join(last, "node_id", "left")
+    return out, quads
 
 
 #: Nodes whose places one task may hold while it sums their pushes.
@@ -178,17 +204,19 @@ def graph_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 100, start: f
             ids, xy = shared.value
             for pdf in batches:
                 at = np.searchsorted(ids, pdf.node_id.to_numpy())
-                out = np.empty((len(pdf), 2))
-                for j, (i, to) in enumerate(zip(at, pdf.to)):
-                    d = xy[i] - xy
-                    r2 = np.maximum((d**2).sum(1), 1e-12)
-                    move = (d * (k * k / r2)[:, None]).sum(0)
-                    if to is not None and len(to):
-                        pull = xy[np.searchsorted(ids, np.asarray(to))] - xy[i]
-                        move += (pull * (np.sqrt((pull**2).sum(1)) / k)[:, None]).sum(0)
-                    move -= gravity / k * xy[i]
-                    size = np.sqrt((move**2).sum())
-                    out[j] = xy[i] + move / max(size, 1e-12) * min(size, limit)
+                move = np.empty((len(pdf), 2))
+                few = max(1, 4_000_000 // len(xy))  # rows that meet all places at once
+                for j in range(0, len(pdf), few):
+                    d = xy[at[j : j + few], None] - xy[None]
+                    move[j : j + few] = (d * (k * k / np.maximum((d**2).sum(2), 1e-12))[:, :, None]).sum(1)
+                lens = np.array([0 if to is None else len(to) for to in pdf.to])
+                if lens.sum():
+                    of = np.repeat(np.arange(len(pdf)), lens)
+                    pull = xy[np.searchsorted(ids, np.concatenate([to for to in pdf.to if to is not None]))] - xy[at[of]]
+                    np.add.at(move, of, pull * (np.sqrt((pull**2).sum(1)) / k)[:, None])
+                move -= gravity / k * xy[at]
+                size = np.sqrt((move**2).sum(1))
+                out = xy[at] + move / np.maximum(size, 1e-12)[:, None] * np.minimum(size, limit)[:, None]
                 yield pd.DataFrame({"node_id": pdf.node_id, "x": out[:, 0], "y": out[:, 1]})
 
         place = rows.mapInPandas(step, "node_id long, x double, y double").orderBy("node_id").toPandas()

@@ -597,6 +597,20 @@ def tessellate_quads(t):
     return geo.tessellate(points, cells, grid.n_nodes, ("x",))[1].select("cell_id", "sub", *(F.col("nodes")[k].alias(f"n{k}") for k in range(4)))
 
 
+_LEGENDRE = [((1, 3**0.5 * x, 5**0.5 * (3 * x * x - 1) / 2), (1, 3**0.5 * y, 5**0.5 * (3 * y * y - 1) / 2)) for x, y in ((0, 0), (0, -1), (1, 0), (0, 1), (-1, 0), (-1, -1), (1, -1), (1, 1), (-1, 1))]
+_LEGENDRE_SQL = "(VALUES " + ", ".join(f"({n}, " + ", ".join(f"{a * b!r}::DOUBLE" for a in p for b in q) + ")" for n, (p, q) in enumerate(_LEGENDRE)) + ") w(pos, " + ", ".join(f"w{k}" for k in range(9)) + ")"
+
+
+@query(f"""WITH {G2}, c AS (SELECT *, (SELECT count(*) FROM g2n) + cell_id * 5 AS first FROM g2c), v AS (SELECT cell_id, pos, CASE WHEN pos < 5 THEN first + pos ELSE b + list_extract([0, 1, 101, 100], pos - 4) END AS node_id, {" + ".join(f"w{k} * ((cell_id % 7 + {k}) / 10.0::DOUBLE)" for k in range(9))} AS h FROM c, {_LEGENDRE_SQL})
+SELECT node_id, round(arg_max(h, cell_id), 6) AS h FROM v GROUP BY 1""")
+def tessellate_legendre(t):
+    """Second-order cell fields as nodal ones."""
+    grid, points, cells = t.g2()
+    points = points.select("node_id", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
+    cells = cells.withColumn("h", F.array(*[(F.col("cell_id") % 7 + k) / 10.0 for k in range(9)]))
+    return geo.tessellate(points, cells, grid.n_nodes, ("x", "y"), ("h",))[0].where("h is not null").select("node_id", r6("h").alias("h"))
+
+
 @query()
 def graph_layout(t):
     nodes = t.supplier.select(F.col("s_suppkey").cast("long").alias("node_id"))
