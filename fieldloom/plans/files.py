@@ -117,6 +117,14 @@ def image_pixels(t):
     return fm.read(t.spark, _put(t, "a.png", data)).cellset().select(F.col("cell_id").cast("int").alias("cell_id"), "r", "b", "a")
 
 
+@query("SELECT s_suppkey AS cell_id, 2 AS shape, s_suppkey AS a, s_suppkey + 2 AS c, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS material FROM supplier WHERE s_suppkey < (SELECT count(*) FROM supplier) - 2")
+def scene_faces(t):
+    """Suppliers as the vertices of a strip of triangles in a scene file."""
+    rows = _suppliers(t)
+    text = "# strip\n" + "".join(f"v {r.x!r} {r.y!r} {r.z!r}\n" for r in rows) + "".join(f"usemtl {'odd' if k % 2 else 'even'}\nf {k + 1}/1/1 {k + 2} {k + 3 - len(rows) - 1}\n" for k in range(len(rows) - 2))
+    return fm.read(t.spark, _put(t, "a.obj", text)).cellset().select("cell_id", "shape", F.col("nodes")[0].alias("a"), F.col("nodes")[2].alias("c"), "material")
+
+
 @query("SELECT c AS cell_id, CAST(2 AS BIGINT) AS levels, 2.0::DOUBLE * (c + 1) AS cell_const FROM (SELECT unnest(range(16)) AS c)")
 def quadtree_file(t):
     """A full tree of two levels; leaf c has the constant coefficient c + 1."""

@@ -951,6 +951,12 @@ def z_composite_background(t):
     return ry.z_composite(e, "pixel", "z", "value", background=(0.0,)).select("pixel", "z", r6("value").alias("value"))
 
 
+@query("SELECT p_partkey, " + ", ".join(f"round({_color_sql(colors.TABLES['Spectral'], c)}, 6) AS {n}" for c, n in ((1, "r"), (2, "g"), (3, "b"))) + " FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS t FROM part)")
+def colormap_spectral(t):
+    rgb = colors.color(F.col("p_size") / 50.0, colors.TABLES["Spectral"])
+    return t.part.select("p_partkey", *(r6(c).alias(n) for c, n in zip(rgb, "rgb")))
+
+
 def _nearest_sql(table, c: int) -> str:
     out = repr(float(table[-1][c]))
     for a, b in reversed(list(zip(table, table[1:]))):

@@ -302,9 +302,31 @@ def parse_quadtree(data: bytes) -> list[Parsed]:
     return [Parsed(pts, {"node_linear": linear}, {"leaves": cells})]
 
 
+# --- scenes: vertices and faces --------------------------------------------------------------------
+
+
+def parse_obj(data: bytes) -> list[Parsed]:
+    """Vertices and faces of a Wavefront scene; normals and textures are left out, the material in use is a field; negative indices count back."""
+    points, faces, materials, material = [], [], [], ""
+    for line in data.decode("latin-1").splitlines():
+        w = line.split()
+        if w[:1] == ["v"]:
+            points.append([float(x) for x in w[1:4]])
+        elif w[:1] == ["usemtl"]:
+            material = " ".join(w[1:])
+        elif w[:1] == ["f"]:
+            at = [int(x.split("/")[0]) for x in w[1:]]
+            faces.append([i - 1 if i > 0 else len(points) + i for i in at])
+            materials.append(material)
+    lens = [len(f) for f in faces]
+    shapes = np.array([{3: Shape.TRI, 4: Shape.QUAD}.get(n, Shape.POLYGON) for n in lens], np.int32)
+    nodes = np.array([i for f in faces for i in f], np.int64)
+    return [Parsed(np.array(points, float).reshape(-1, 3), {}, {"faces": Cells(shapes, nodes, np.append(0, np.cumsum(lens, dtype=np.int64)).astype(np.int64), {"material": np.array(materials, object)})})]
+
+
 # --- choice by suffix ------------------------------------------------------------------------------
 
-PARSERS: dict[str, Parser] = {"vtk": vtk.parse, "lammpstrj": parse_dump, "dump": parse_dump, "png": parse_png, "mad": parse_quadtree, "madness": parse_quadtree}
+PARSERS: dict[str, Parser] = {"vtk": vtk.parse, "lammpstrj": parse_dump, "dump": parse_dump, "png": parse_png, "obj": parse_obj, "mad": parse_quadtree, "madness": parse_quadtree}
 #: Formats whose libraries are not at hand.
 MISSING = {"silo", "nc", "netcdf", "bp", "h5", "pixie", "chimera"}
 

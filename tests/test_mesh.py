@@ -317,3 +317,20 @@ def test_traced_sphere_and_cylinder(spark):
     dull = spark.createDataFrame([("sphere", 7, 0.1, 0.2, 0.0, 1.0)], "kind string, idx long, ambient double, diffuse double, specular double, shine double")
     got = ry.trace(rays, scene, (0.0, 0.0, -20.0), (0.0, 0.0, -5.0), bounces=0, materials=dull, color=F.lit(0.5)).orderBy("ray_id").collect()
     assert got[0].shade == pytest.approx(0.5 * (0.1 + 0.9 * 0.2))
+
+
+def test_schemes():
+    assert len(colors.TABLES) == 44
+    assert colors.TABLES["Blues"][1] == (0.125, 0.8706, 0.9216, 0.9686) and colors.TABLES["Accent"][1][:2] == (0.1429, 0.7451) and colors.TABLES["Spectral"][-1] == (1.0, 0.3686, 0.3098, 0.6353)
+    for t in colors.TABLES.values():
+        assert [p for p, *_ in t] == sorted(p for p, *_ in t) and all(0 <= c <= 1 for _, *rgb in t for c in rgb) and len(t[0]) == 4
+
+
+def test_case_tables_have_the_known_sizes():
+    """Lines of the square, triangles of the tetrahedron: one for a lone corner, two for a pair."""
+    assert sum(map(len, geo.case_table(int(Shape.PIXEL)).values())) == 12 + 2 * 2 == sum(map(len, geo.case_table(int(Shape.QUAD)).values()))
+    assert sum(map(len, geo.case_table(int(Shape.TET)).values())) == 8 + 6 * 2 and sum(map(len, geo.case_table(int(Shape.TRI)).values())) == 6
+    for s, faces in FACES.items():  # each edge is in two faces, and corners - edges + faces = 2
+        ends = [frozenset((f[k - 1], f[k])) for f in faces for k in range(len(f))]
+        assert sorted(map(sorted, ends)) == sorted(sorted(e) for e in EDGES[s] for _ in range(2))
+        assert len({n for f in faces for n in f}) - len(EDGES[s]) + len(faces) == 2
