@@ -30,6 +30,8 @@ from .texthash import mix, prefix, spans, words
 
 #: Words a shingle, differing bits that still link, seed of the hash, children a node, rows that one share of a hot band may have.
 WORDS, BITS, SEED, FANOUT, SHARE = 4, 4, 42, 8, 20_000
+#: Fingerprints of a hot share that meet all of its blocks.
+PIVOTS = 500
 #: Words a shingle and least similarity of near copies, 64-bit words of their fingerprints, standard deviations of the distance allowed
 #: above its mean there, chance that no sample of bits agrees there, fingerprints that chance should bring together on a sample.
 NEAR_WORDS, NEAR, WIDE, SPREAD, MISS, TOGETHER = 5, 0.8, 6, 0.8, 0.1, 64
@@ -307,20 +309,34 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def _dealt(distinct: DataFrame, keyed: Callable[[DataFrame], DataFrame], keys: int, n: int, bits: int, kind: str) -> DataFrame:
-    """Edges between fingerprints that share a key and differ in at most `bits` bits.
+    """Edges between fingerprints that share a key and differ in at most `bits` bits: the same components as all such links.
 
-    A key that over SHARE fingerprints have is cut into blocks by hash; each pair of blocks is a share of its own. Such keys
-    are found in a sample by hash (a key that it misses is only cut less finely).
+    A key that over SHARE fingerprints have is cut into blocks by hash, and about PIVOTS of its fingerprints join every block. Then
+    its largest component is known, and only what lies outside it (little, where near copies made the key hot) meets all
+    blocks. So such a key costs its size, and what is outside times the blocks, but not the square of its size. Such keys are
+    found in a sample by hash (a key that it misses is only cut less finely).
     """
+    spark = distinct.sparkSession
     rate = max(1, SHARE // 200)
     sizes = keyed(distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(rate)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * rate).alias("n"))
+    hot = settle(spark, sizes.where(F.col("n") > SHARE // 2).select(F.col("key").alias("hot_key"), F.ceil(2 * F.col("n") / SHARE).alias("blocks")), "hot")
     # keys of SHARE / 2 and more are at most 2 * keys * n / SHARE; with fewer than 2^16 of them they are broadcast, else joined
-    hot = settle(distinct.sparkSession, sizes.where(F.col("n") > SHARE // 2).select(F.col("key").alias("_key"), F.ceil(2 * F.col("n") / SHARE).alias("blocks")), "hot")
-    few = 2 * keys * n // SHARE < 1 << 16
-    cut = keyed(distinct).join(F.broadcast(hot) if few else hot, F.col("key") == F.col("_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))).select("fp", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    shares = cut.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
-    return shares.repartition("g").sortWithinPartitions("g").mapInArrow(_link_sorted(bits), f"a {kind}, b {kind}").distinct()
+    small = (lambda df: F.broadcast(df)) if 2 * keys * n // SHARE < 1 << 16 else (lambda df: df)
+    shares = lambda rows: rows.select("fp", F.xxhash64("key", "block").alias("g")).repartition("g").sortWithinPartitions("g").mapInArrow(_link_sorted(bits), f"a {kind}, b {kind}")
+    rows = keyed(distinct).join(small(hot), F.col("key") == F.col("hot_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("hot_key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
+    every = lambda chosen: F.explode(F.when(chosen, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block")))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 20)) * F.col("blocks") < F.lit((PIVOTS << 21) // SHARE))
+    first = settle(spark, shares(rows.select("fp", "key", every(pivot).alias("block"))).distinct(), "links")
+    if hot.isEmpty():
+        return first
+    named = rows.where("blocks > 1").join(components(first, "hot"), F.col("fp") == F.col("node"), "left").select("fp", "key", "blocks", "block", F.coalesce("root", "fp").alias("root"))
+    named = settle(spark, named, "hot")
+    largest = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    largest = settle(spark, largest.select(F.col("key").alias("hot_key"), "most"), "hot")
+    open_ = named.join(small(largest), F.col("key") == F.col("hot_key"))
+    second = shares(open_.select("fp", "key", every(F.col("root") != F.col("most")).alias("block")))
+    return first.unionByName(settle(spark, second.distinct(), "links")).distinct()
 
 
 def differing(similarity: float) -> float:

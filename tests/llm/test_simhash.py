@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldloom.llm import simhash as s
 
@@ -75,11 +76,36 @@ def test_bands_lose_no_link():
             assert any(d & m == 0 for m in masks)
 
 
-def test_hot_bands_are_split(odd, odd_rows, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 2, 500])
+def test_hot_bands_are_split(odd, odd_rows, monkeypatch, pivots):
     monkeypatch.setattr(s, "SHARE", 10)
+    monkeypatch.setattr(s, "PIVOTS", pivots)
     check(odd, odd_rows)
 
 
+@pytest.mark.parametrize("pivots", [0, 3])
+def test_hot_keys_lose_no_link(spark, monkeypatch, pivots):
+    """One key for all: dense groups, chains and loners in many blocks, against brute force."""
+    monkeypatch.setattr(s, "SHARE", 40)
+    monkeypatch.setattr(s, "PIVOTS", pivots)
+    rng = random.Random(11)
+    near = lambda c, k: c ^ sum(1 << b for b in rng.sample(range(64), k))
+    one, two = rng.getrandbits(64), rng.getrandbits(64)
+    fp = [near(one, rng.randint(0, 3)) for _ in range(300)] + [near(two, rng.randint(0, 4)) for _ in range(60)] + [rng.getrandbits(64) for _ in range(40)]
+    for _ in range(5):  # chains of near links
+        c = rng.getrandbits(64)
+        for _ in range(12):
+            fp.append(c)
+            c = near(c, 4)
+    fp = sorted(set(fp))
+    df = spark.createDataFrame([(s._signed(x),) for x in fp], "fp long")
+    edges = s._dealt(df, lambda d: d.select("fp", F.lit(1).cast("long").alias("key")), 1, len(fp), s.BITS, "long")
+    got = {r.node: r.root for r in s.components(edges).collect()}
+    want = plain_components(dict(enumerate(fp)))
+    groups = lambda of: {frozenset(i for i in range(len(fp)) if of(i) == r) for r in map(of, range(len(fp)))}
+    assert groups(lambda i: got.get(s._signed(fp[i]), s._signed(fp[i]))) == groups(want.__getitem__)
+
+
 def test_tables(odd, odd_rows, none):
     check(odd, odd_rows)
     assert s.near_groups(none).collect() == [] and s.keep_one(none).collect() == []
