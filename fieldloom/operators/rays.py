@@ -307,18 +307,28 @@ def project(points: DataFrame, matrix: np.ndarray, w: int, h: int, samples: int)
 def sample_tets(tets: DataFrame, w: int, h: int, depth: int) -> DataFrame:
     """x, y, z, s: scalar at lattice points in each tetrahedron (p0..p3: structs x, y, z, s in screen space); of several, the first tetrahedron's.
 
-    The lattice of a box is exploded by x and y; z is then held to where the column can be inside, not to the whole box.
+    Each tetrahedron's weights are linear in the place: their slopes are found once, before its box's lattice is exploded. Flat ones hold nothing.
     """
-    from .compute import tet_barycentric
-
     ps = [F.col(f"p{k}") for k in range(4)]
     lo = lambda a, n: F.greatest(F.ceil(F.least(*(p[a] for p in ps))), F.lit(0)).cast("int")
     hi = lambda a, n: F.least(F.floor(F.greatest(*(p[a] for p in ps))), F.lit(n - 1)).cast("int")
-    seq = lambda a, n: F.explode(F.when(lo(a, n) <= hi(a, n), F.sequence(lo(a, n), hi(a, n))).otherwise(F.array().cast("array<int>")))
-    t = tets.withColumn("x", seq("x", w)).withColumn("y", seq("y", h)).withColumn("z", seq("z", depth))
-    b = tet_barycentric([F.col(c).cast("double") for c in "xyz"], [v3.of(p) for p in ps])
-    t = t.withColumns({f"w{k}": x for k, x in enumerate(b)}).where(" and ".join(f"w{k} >= 0" for k in range(4)))
-    s = sum((F.col(f"w{k}") * p["s"] for k, p in enumerate(ps)), F.lit(0.0))
+    seq = lambda a, n: F.when(lo(a, n) <= hi(a, n), F.sequence(lo(a, n), hi(a, n))).otherwise(F.array().cast("array<int>"))
+    edges = [v3.sub(v3.of(p), v3.of(ps[0])) for p in ps[1:]]
+    t = tets
+    for k, e in enumerate(edges, 1):
+        t, edges[k - 1] = let(t, f"e{k}", e)
+    normals = [v3.cross(edges[1], edges[2]), v3.cross(edges[2], edges[0]), v3.cross(edges[0], edges[1])]
+    for k, n in enumerate(normals, 1):
+        t, normals[k - 1] = let(t, f"n{k}", n)
+    t = t.withColumn("_det", v3.dot(edges[0], normals[0])).where(F.col("_det") != 0)
+    slopes = [f"_g{k}{a}" for k in (1, 2, 3) for a in "xyz"]
+    t = t.select("cell_id", *(p["s"].alias(f"s{k}") for k, p in enumerate(ps)), *(ps[0][a].alias(f"o{a}") for a in "xyz"), *((F.col(f"_n{g[2]}{g[3]}") / F.col("_det")).alias(g) for g in slopes), *(seq(a, n).alias(f"in_{a}") for a, n in zip("xyz", (w, h, depth))))
+    for a in "xyz":
+        t = t.withColumn(a, F.explode(f"in_{a}")).drop(f"in_{a}")
+    at = [F.col(a) - F.col(f"o{a}") for a in "xyz"]
+    t = t.withColumns({f"w{k}": v3.dot(at, _p(*(f"_g{k}{a}" for a in "xyz"))) for k in (1, 2, 3)}).withColumn("w0", 1.0 - F.col("w1") - F.col("w2") - F.col("w3"))
+    t = t.where(" and ".join(f"w{k} >= 0" for k in range(4)))
+    s = sum((F.col(f"w{k}") * F.col(f"s{k}") for k in range(4)), F.lit(0.0))
     return t.groupBy("x", "y", "z").agg(F.min(F.struct("cell_id", s.alias("s"))).alias("m")).select("x", "y", "z", "m.s")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import model
 from fieldloom.functions import chemistry as ch, colors, grid as g, matrix as mx
 from fieldloom.model import EDGES, Shape
+from fieldloom.shared import settle
 from fieldloom.operators import compute as cp, geometry as geo, primitives as pr, rays as ry, select as sel, topology as tp
 
 from .relmesh import Tables
@@ -913,7 +914,7 @@ w AS (SELECT *, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY x, y ORDER BY z R
 SELECT x, y, round(sum(v * a * through), 6) AS color, round(1 - exp(sum(ln(1 - a))), 6) AS opacity FROM w GROUP BY 1, 2""")
 def volume_render(t):
     """The whole chain: tetrahedra, samples of their lattice, a transfer function, and one color a pixel."""
-    s = volume_sample(t)
+    s = settle(t.spark, volume_sample(t), "samples")  # read for its range, then for the blend
     r = s.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     v = s.join(F.broadcast(r)).select("x", "y", "z", ((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))  # r is one row
     c = ry.composite(v, ["x", "y"], "z", "v", ry.gaussian_opacity(F.col("v")))
