@@ -45,7 +45,7 @@ def test_features_of_many_pages_are_those_of_each():
 
 
 def test_pages_written_by_hand(net):
-    """Recall and precision of blocks over pages of layouts that the generator does not write."""
+    """Recall and precision of blocks over pages that the generator did not write."""
     right = wrong = missed = 0
     for marked in PAGES.values():
         page, labels = split(marked)
