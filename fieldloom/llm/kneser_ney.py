@@ -4,12 +4,14 @@ Counting rounds, each a map with local sums, one shuffle of packed sorted runs,
 (hash, count), then triples of word numbers by their last two words, then per-word totals of the pairs and totals of the
 triples' first two words. Keys are dealt out by hash after local sums, so frequent words weigh no more than others. The files of a shard:
   w<shard> word hashes, sorted; c<shard> their counts. A word's number is its place over all shards.
-  p<shard> pair hashes (a bijection of the pair), sorted; q<shard> their counts; r<shard> their different words before, in the narrowest type.
+  p<shard> pair hashes (a bijection of the pair), sorted; q<shard> their counts; r<shard> their different words before.
   k<shard> (per word number, as w) different words before; t, a, b, d<shard> the sum of r of the pairs after it, and pairs with r of one, two, more.
   g<shard> hashes of the triples seen twice or more, sorted, with their last pair's shard; h<shard> their counts.
   x<shard> hashes of pairs that such triples start with, sorted; s, y, z<shard> their tokens in such triples, and such triples seen twice, more.
-Triples seen once count in the discounts and totals but are not stored: their mass goes to the pair's estimate, as it would if all were
-(a context whose triples are all single passes everything on). A document is one sentence: the start counts as a word before it, the end is a token.
+  o<shard> first words of the triples seen once, pair by pair as p, sorted in each; e, f<shard> where each BLOCK of pairs begins there, and each pair from its block's start.
+Counts are bytes; those of 255 and more stand behind (put_counts). A model that is pruned (train's default, not the query's) has no o, e and f: triples seen
+once count in the discounts and totals, and their mass goes to the pair's estimate (a context whose triples are all single passes everything on).
+A document is one sentence: the start counts as a word before it, the end is a token.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import buffers, key_text, settle, shared_path, slices
 from .files import Arrays, put_array
-from .texthash import ascii_lower, mix, prefix, spans, words
+from .texthash import ascii_lower, gather, mix, prefix, spans, words
 
 #: Keys a task sums up before it hands them on; bytes of text whose keys one shard may have to hold (with 2^16 shards they grow).
 HOLD, SHARD_BYTES = 4_000_000, 128 << 20
+#: Pairs whose places among the triples seen once are told from a common one.
+BLOCK = 256
 _END = np.uint64(0x454E44)
 _NONE = np.uint32(0xFFFFFFFF)
 _LOWER = ascii_lower()
@@ -71,6 +75,24 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
+def put_counts(uri: str, name: str, x: np.ndarray) -> None:
+    """Whole numbers as bytes; behind them the places of those of 255 and more, these themselves, and how many they are, eight bytes each."""
+    big = np.flatnonzero(x >= 255)
+    tail = np.concatenate([big, x[big].astype(np.int64), [len(big)]]).astype(np.int64)
+    put_array(uri, name, np.concatenate([np.minimum(x, 255).astype(np.uint8), tail.view(np.uint8)]))
+
+
+def _counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers at some places of what put_counts wrote."""
+    out = raw[at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        n = int(raw[-8:].view(np.int64)[0])
+        places, values = raw[-8 - 16 * n : -8].view(np.int64).reshape(2, n)
+        out[big] = values[np.searchsorted(places, at[big])]
+    return out
+
+
 def _pack(keys: np.ndarray, *values: np.ndarray) -> list[bytes]:
     return [_planes(_narrow(np.diff(keys, prepend=keys[:1] * 0))), *(_planes(_narrow(v)) for v in values)]
 
@@ -145,6 +167,7 @@ class Model:
     n_tokens: int = 0
     pair_types: int = 0
     order: int = 3
+    prune: bool = True
     discounts: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     gamma1: float = 1.0
     _arrays: Arrays = None
@@ -179,7 +202,7 @@ class Model:
         for a, b in zip(edges, edges[1:]):
             ok = at[a:b] >= 0
             if ok.any():
-                out[a:b][ok] = self.arrays[f"{name}{shard[a]}"][at[a:b][ok]]
+                out[a:b][ok] = _counts(np.asarray(self.arrays[f"{name}{shard[a]}"]), at[a:b][ok])
         return out
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -208,6 +231,27 @@ class Model:
         low = np.uint64(64 - (self.shards.bit_length() - 1))
         return (pair_hash >> low << low) | (mix(pair_hash * np.uint64(0x9E3779B97F4A7C15) + first) >> (np.uint64(64) - low))
 
+    def _once(self, shard: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether triples were seen once, from their last pairs' places (-1: not met) and first words; shards ascend."""
+        out = np.zeros(len(at), bool)
+        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else np.zeros(1, int)
+        for a, b in zip(edges, edges[1:]):
+            i = a + np.flatnonzero(at[a:b] >= 0)
+            if not len(i):
+                continue
+            firsts, begin, rest = (np.asarray(self.arrays[f"{name}{shard[a]}"]) for name in "oef")
+            lo, end = (begin[x // BLOCK].astype(np.int64) + rest[x] for x in (at[i], at[i] + 1))
+            want, hi = first[i], end.copy()
+            k = np.flatnonzero(lo < hi)
+            while len(k):  # halving, each among its own pair's
+                mid = (lo[k] + hi[k]) >> 1
+                less = firsts[mid] < want[k]
+                lo[k[less]], hi[k[~less]] = mid[less] + 1, mid[~less]
+                k = k[lo[k] < hi[k]]
+            k = np.flatnonzero(lo < end)
+            out[i[k]] = firsts[lo[k]] == want[k]
+        return out
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """For each text: n_tokens, n_known, base_score, score."""
         h, off = tokens(texts)
@@ -232,13 +276,15 @@ class Model:
         safe = np.maximum(t, 1)
         prob = np.where(t > 0, (c - _cut(self.discounts["pairs"], c)) / safe + m / safe * p1[inv], p1[inv])
         if self.order > 2:
-            prob = self._third(prob, raw, pair, off, seen[pinv], up, pinv)
+            prob = self._third(prob, raw, pair, off, seen[pinv], up, pinv, found)
         base = np.log10((count + 0.1) / (self.n_tokens + 0.1 * (self.n_words + 1)))
         add = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every text has a token
         return {"n_tokens": np.diff(off), "n_known": add((count > 0)[inv].astype(np.int64)), "base_score": add(base[inv]), "score": add(np.log10(prob))}
 
-    def _third(self, prob: np.ndarray, raw: np.ndarray, pair: np.ndarray, off: np.ndarray, seen: np.ndarray, up: np.ndarray, pinv: np.ndarray) -> np.ndarray:
-        """Probabilities given two words before, from those given one; the context of a token is the pair of the token before."""
+    def _third(self, prob: np.ndarray, raw: np.ndarray, pair: np.ndarray, off: np.ndarray, seen: np.ndarray, up: np.ndarray, pinv: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Probabilities given two words before, from those given one; the context of a token is the pair of the token before.
+
+        up, pinv, places: the different pair hashes, each token's among them, and where the model has them."""
         after = np.ones(len(raw), bool)
         after[off[:-1]] = False
         i = np.flatnonzero(after)
@@ -248,12 +294,17 @@ class Model:
         found = self._search("x", up)
         kept, two, more = (self._take(n, *found)[pinv[i - 1]] for n in "syz")
         context = seen[i - 1]
-        triple = self.triples(pair[i], self.firsts(raw, off)[i])
-        ut, tinv = np.unique(triple, return_inverse=True)
-        c = self._take("h", *self._search("g", ut))[tinv]
+        first = self.firsts(raw, off)[i]
+        ut, one, tinv = np.unique(self.triples(pair[i], first), return_index=True, return_inverse=True)
+        c = self._take("h", *self._search("g", ut))
+        if not self.prune:
+            shard, at = (x[pinv[i[one]]] for x in places)
+            c += self._once(shard, np.where(c > 0, -1, at), first[one])
+        c = c[tinv]
         safe = np.maximum(context, 1)
         out = prob.copy()
-        out[i] = np.where(context > 0, (c - _cut(d, c)) / safe + (context - kept + d[1] * two + d[2] * more) / safe * prob[i], prob[i])
+        mass = (1.0 if self.prune else d[0]) * (context - kept) + d[1] * two + d[2] * more  # as many triples seen once as their tokens
+        out[i] = np.where(context > 0, (c - _cut(d, c)) / safe + mass / safe * prob[i], prob[i])
         return out
 
     def _context(self, shard: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,10 +337,10 @@ def _merged(batches: Iterator[pa.RecordBatch], sums: Callable = _sums) -> Iterat
         yield s, sums(*(np.concatenate(x) for x in zip(*runs.pop(s))))
 
 
-def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str = "doc_id", text_col: str = "text", prune: bool = True) -> Model:
     """Count all rows of docs (null: empty) and write the model's arrays below path (a new folder in the shared one unless given).
 
-    Rows that repeat count as often as they stand there; ids play no part. No rows make a model without words.
+    prune: triples seen once are not stored and pass their mass on; else they have their own probabilities as all others. Rows that repeat count as often as they stand there; ids play no part. No rows make a model without words.
     """
     spark = docs.sparkSession
     uri = path or shared_path(spark, "kneser-ney")
@@ -297,7 +348,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES, 16)
     shards = 1 << min(16, (least - 1).bit_length())
-    m = Model(uri, shards, order=order)
+    m = Model(uri, shards, order=order, prune=prune)
     top = _top(shards)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +362,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (keys, n) in _merged(batches):
             put_array(uri, f"w{s}", keys)
-            put_array(uri, f"c{s}", _narrow(n))
+            put_counts(uri, f"c{s}", n)
             yield pa.RecordBatch.from_pydict({"shard": [s], "n": [len(keys)], "sum": [int(n.sum())]})
 
     runs = text.mapInArrow(count_words, "shard int, run array<binary>").repartitionById(shards, F.col("shard"))
@@ -322,7 +373,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
         m.n_tokens += r.sum
     for s in np.flatnonzero(sizes == 0):
         put_array(uri, f"w{s}", np.zeros(0, np.uint64))
-        put_array(uri, f"c{s}", np.zeros(0, np.uint8))
+        put_counts(uri, f"c{s}", np.zeros(0, np.uint8))
     m.base = np.concatenate([[0], np.cumsum(sizes)])
     if m.n_words + 2 >= 1 << 32:
         raise ValueError("more different words than 32 bits can number")
@@ -346,6 +397,12 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
 
     where = lambda k: np.searchsorted(m.base[1:], k.astype(np.int64), "right")  # noqa: E731  the start is shard `shards`
 
+    def put_once(s: int, firsts: np.ndarray, off: np.ndarray) -> None:
+        """firsts: first words of a shard's triples seen once; off: where each pair's begin, and the end."""
+        put_array(uri, f"o{s}", firsts.astype(np.uint32))
+        put_array(uri, f"e{s}", off[::BLOCK])
+        put_array(uri, f"f{s}", _narrow(off - np.repeat(off[::BLOCK], BLOCK)[: len(off)]))
+
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (keys, first, n) in _merged(batches, _triple_sums):
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -353,15 +410,17 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             pair, raw = keys[edge], np.add.reduceat(n, edge)
             before = np.where(third[edge], np.diff(np.append(edge, len(keys))), raw.astype(np.int64)).astype(np.uint64)  # at the start, and without triples: the counts
             h = mix(pair)
-            order = np.argsort(h)
-            put_array(uri, f"p{s}", h[order])
-            put_array(uri, f"q{s}", _narrow(raw[order]))
-            put_array(uri, f"r{s}", _narrow(before[order]))
-            often = third & (n > 1)
+            place = np.argsort(h)
+            put_array(uri, f"p{s}", h[place])
+            put_counts(uri, f"q{s}", raw[place])
+            put_counts(uri, f"r{s}", before[place])
+            often, once = third & (n > 1), third & (n == 1)
             triple = m.triples(mix(keys[often]), first[often])
             order = np.argsort(triple)
             put_array(uri, f"g{s}", triple[order])
-            put_array(uri, f"h{s}", _narrow(n[often][order]))
+            put_counts(uri, f"h{s}", n[often][order])
+            if not prune:
+                put_once(s, *gather(first[once], np.append(0, np.cumsum(np.add.reduceat(once, edge, dtype=np.int64))), place))
             v, w = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
             one, zero = np.ones(len(pair), np.uint64), np.zeros(len(pair), np.uint64)
             each = [zero, before, *((before == j).astype(np.uint64) for j in (1, 2)), (before > 2).astype(np.uint64)]
@@ -387,13 +446,15 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
         for name in "pg":
             put_array(uri, f"{name}{s}", np.zeros(0, np.uint64))
         for name in "qrh":
-            put_array(uri, f"{name}{s}", np.zeros(0, np.uint8))
+            put_counts(uri, f"{name}{s}", np.zeros(0, np.uint8))
+        if not prune:
+            put_once(s, np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def write_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (keys, *values) in _merged(batches):
             put_array(uri, f"x{s}", keys)
             for name, x in zip("syz", values):
-                put_array(uri, f"{name}{s}", _narrow(x))
+                put_counts(uri, f"{name}{s}", x)
             yield pa.RecordBatch.from_pydict({"shard": [s]})
 
     runs = per_word.where("kind = 'start'").select("shard", "run").repartitionById(shards, F.col("shard"))
@@ -401,7 +462,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
     for s in set(range(shards)) - have:
         put_array(uri, f"x{s}", np.zeros(0, np.uint64))
         for name in "syz":
-            put_array(uri, f"{name}{s}", np.zeros(0, np.uint8))
+            put_counts(uri, f"{name}{s}", np.zeros(0, np.uint8))
 
     def write_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (number, *values) in _merged(batches):
@@ -411,7 +472,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             for name, x in zip("ktabd", values):
                 dense.append(np.zeros(size, np.uint64))
                 dense[-1][at] = x
-                put_array(uri, f"{name}{s}", _narrow(dense[-1]))
+                put_counts(uri, f"{name}{s}", dense[-1])
             yield pa.RecordBatch.from_pydict({"shard": [s], "stats": [[int((dense[0] == j).sum()) for j in (1, 2, 3, 4)] + [int((dense[0] > 2).sum())]]})
 
     runs = per_word.where("kind = 'word'").select("shard", "run").repartitionById(shards + 1, F.col("shard"))
@@ -419,7 +480,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
     have = {r.shard for r in stats}
     for s in set(range(shards + 1)) - have:
         for name in "ktabd":
-            put_array(uri, f"{name}{s}", np.zeros(max(1, int(m.base[s + 1] - m.base[s]) if s < shards else 1), np.uint8))
+            put_counts(uri, f"{name}{s}", np.zeros(max(1, int(m.base[s + 1] - m.base[s]) if s < shards else 1), np.uint8))
     n = [sum(r.stats[j] for r in stats if r.shard < shards) for j in range(5)]
     d = m.discounts["words"] = discounts(n[:4])
     m.gamma1 = (d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / m.pair_types if m.pair_types else 1.0
@@ -447,6 +508,6 @@ def held_out(docs: DataFrame, n: int = 10, id_col: str = "doc_id") -> Column:
 
 
 def score_all(docs: DataFrame) -> DataFrame:
-    """Train on nine tenths and score all rows."""
-    out = score(docs, train(docs.where(~held_out(docs))))
+    """Train on nine tenths and score all rows, by all triples."""
+    out = score(docs, train(docs.where(~held_out(docs)), prune=False))
     return out.withColumn("held_out", held_out(out)).select("doc_id", "held_out", *_SCORES[1:])

@@ -107,3 +107,43 @@ def test_empty(spark, odd, none):
     assert k.score_all(none).collect() == []
     got = k.score(odd.where("doc_id = 3"), k.train(none)).first()
     assert got.n_known == 0 and got.train_tokens == 0 and math.isfinite(got.score)
+
+
+def test_triples_seen_once_count(odd, odd_rows):
+    """The query's model has every triple, those seen once too, at its own discounted probability."""
+    train = [split(r[1]) for r in odd_rows if not held(r[0])]
+    _, p1, p2, _, uni = plain([r[1] for r in odd_rows if not held(r[0])], [])
+    third = defaultdict(Counter)
+    for w in train:
+        for a, b, c in zip(["<s>", *w], w, w[1:]):
+            third[a, b][c] += 1
+    d = k.discounts([sum(n == j for x in third.values() for n in x.values()) for j in (1, 2, 3, 4)])
+    cut = lambda n: 0 if not n else d[min(n, 3) - 1]
+
+    def p3(a, b, c):
+        x = third.get((a, b))
+        if not x:
+            return p2(b, c)
+        t = sum(x.values())
+        return (x[c] - cut(x[c])) / t + sum(map(cut, x.values())) / t * p2(b, c)
+
+    for a, b in [next(p for p, x in third.items() if set(x.values()) == {1}), max(third, key=lambda p: len(third[p]))]:
+        assert sum(p3(a, b, w) for w in uni) + p3(a, b, "never seen") == pytest.approx(1)
+    want = {}
+    for r in odd_rows:
+        w = split(r[1])
+        want[r[0]] = math.log10(p2("<s>", w[0])) + sum(math.log10(p3(a, b, c)) for a, b, c in zip(["<s>", *w], w, w[1:]))
+    got = k.score_all(odd).collect()
+    assert len(got) == len(odd_rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id])
+
+
+def test_counts_of_any_size(tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(5).permutation(np.r_[np.arange(1000), 254, 255, 256, 1 << 32, 1 << 40]).astype(np.uint64)
+    for y in (x, x % 255, x[:1], x[:0]):
+        k.put_counts(f"file://{tmp_path}", "c0", y)
+        at = np.arange(len(y))[::-1]
+        assert (k._counts(k.Arrays(f"file://{tmp_path}")["c0"], at) == y[at].astype(np.int64)).all()
