@@ -31,6 +31,8 @@ from .texthash import ascii_lower, gather, mix, prefix, spans, words
 
 #: Keys a task sums up before it hands them on; bytes of text whose keys one shard may have to hold (with 2^16 shards they grow).
 HOLD, SHARD_BYTES = 4_000_000, 128 << 20
+#: Bytes of text whose words are hashed at a time.
+PIECE = 1 << 18
 #: Pairs whose places among the triples seen once are told from a common one.
 BLOCK = 256
 _END = np.uint64(0x454E44)
@@ -52,10 +54,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     is_end = np.zeros(len(out), bool)
     is_end[out_off[1:] - 1] = True
     out[is_end] = _END
-    out[~is_end] = spans(prefix(data), s, e)
+    out[~is_end] = _hashes(data, s, e)
     return out, out_off
 
 
+def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[s[i]:e[i]], ascending, PIECE bytes at a time: hashing takes over thirty bytes for each byte of text."""
+    out, a = np.empty(len(s), np.uint64), 0
+    while a < len(s):
+        b = max(a + 1, int(np.searchsorted(e, s[a] + PIECE, "right")))
+        out[a:b] = spans(prefix(data[s[a] : e[b - 1]]), s[a:b] - s[a], e[a:b] - s[a])
+        a = b
+    return out
+
+
 # --- packed runs: sorted keys by difference, byte planes, zstd --------------------------------------
 
 
@@ -98,7 +110,8 @@ def _pack(keys: np.ndarray, *values: np.ndarray) -> list[bytes]:
 
 
 def _unpack(row: list[bytes]) -> list[np.ndarray]:
-    first, *rest = [_unplanes(b).astype(np.uint64) for b in row]
+    """The keys and their values; these as narrow as they were packed, so that sums of them need a type of their own."""
+    first, *rest = [_unplanes(b) for b in row]
     return [np.cumsum(first, dtype=np.uint64), *rest]
 
 
@@ -109,17 +122,17 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return [keys[first], *(np.add.reduceat(v[order], first) for v in values)]
+    return [keys[first], *(np.add.reduceat(v[order], first, dtype=np.uint64) for v in values)]
 
 
 def _dealt(shards: int, of, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     """A packed run for each shard; of(keys): their shards."""
-    to = of(keys)
+    to = of(keys).astype(np.int32)
     order = np.argsort(to, kind="stable")
-    keys, values, to = keys[order], [v[order] for v in values], to[order]
+    to = to[order]
     at = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, int)
-    runs = [_pack(keys[a:b], *(v[a:b] for v in values)) for a, b in zip(at, at[1:])]
-    return pa.RecordBatch.from_pydict({"shard": pa.array(to[at[:-1]].astype(np.int32)) if len(to) else pa.array([], pa.int32()), "run": pa.array(runs, pa.list_(pa.binary()))})
+    runs = [_pack(*(x[order[a:b]] for x in (keys, *values))) for a, b in zip(at, at[1:])]
+    return pa.RecordBatch.from_pydict({"shard": pa.array(to[at[:-1]]) if len(to) else pa.array([], pa.int32()), "run": pa.array(runs, pa.list_(pa.binary()))})
 
 
 def _top(shards: int):
@@ -127,12 +140,27 @@ def _top(shards: int):
     return lambda h: (h >> shift).astype(np.int64) if shards > 1 else np.zeros(len(h), np.int64)
 
 
-def _triple_sums(keys: np.ndarray, firsts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Different (pair, first), sorted, and the sums of their counts."""
+def _triple_sums(keys: np.ndarray, firsts: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
+    """Different (pair, first), sorted, and the sums of their counts (one each unless given)."""
     order = np.lexsort((firsts, keys))
-    keys, firsts, n = keys[order], firsts[order], n[order]
+    keys, firsts, n = keys[order], firsts[order], None if n is None else n[order]
+    del order
     first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (firsts[1:] != firsts[:-1])]) if len(keys) else np.zeros(0, int)
-    return [keys[first], firsts[first], np.add.reduceat(n, first) if len(first) else n]
+    if n is None:
+        sums = np.diff(first, append=len(keys)).astype(np.uint64)
+    else:
+        sums = np.add.reduceat(n, first, dtype=np.uint64) if len(first) else n
+    return [keys[first], firsts[first], sums]
+
+
+def _word_sums(pair: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """Of sorted pairs, by word number: pairs that end in it; of those that begin with it the sum of `before`, and how many have one, two, more."""
+    w, kinds = np.unique(pair & np.uint64(0xFFFFFFFF), return_counts=True)
+    v = pair >> np.uint64(32)
+    edge = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    after = [np.add.reduceat(x, edge, dtype=np.uint64) for x in (before, before == 1, before == 2, before > 2)]
+    lacks = [np.zeros(len(x), np.uint64) for x in (w, edge)]
+    return _sums(np.concatenate([w, v[edge]]), np.concatenate([kinds.astype(np.uint64), lacks[1]]), *(np.concatenate([lacks[0], x]) for x in after))
 
 
 class _Held:
@@ -366,7 +394,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             yield pa.RecordBatch.from_pydict({"shard": [s], "n": [len(keys)], "sum": [int(n.sum())]})
 
     runs = text.mapInArrow(count_words, "shard int, run array<binary>").repartitionById(shards, F.col("shard"))
-    got = settle(spark, runs.mapInArrow(write_words, "shard long, n long, sum long"), "words").collect()  # one row a shard
+    got = runs.mapInArrow(write_words, "shard long, n long, sum long").collect()  # one row a shard
     sizes = np.zeros(shards, np.int64)
     for r in got:
         sizes[r.shard] = r.n
@@ -381,19 +409,26 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda k: top(mix(k))
         parts, held = [], 0
-        for batch in slices(batches):
-            h, off = tokens(batch.column("text"))
+
+        def take() -> list[np.ndarray]:
+            pair, first = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            return _triple_sums(pair, first)
+
+        def add(texts: pa.Array) -> int:
+            h, off = tokens(texts)
             uniq, inv = np.unique(h, return_inverse=True)
             pair = m.pairs(m.numbers(uniq)[inv], off)
             parts.append((pair, m.firsts(pair, off)))
-            held += len(pair)
+            return len(pair)
+
+        for batch in slices(batches):
+            held += add(batch.column("text"))
             if held > HOLD // 2:
-                pair, first = (np.concatenate(x) for x in zip(*parts))
-                yield _dealt(shards, of, *_triple_sums(pair, first, np.ones(len(pair), np.uint64)))
-                parts, held = [], 0
+                yield _dealt(shards, of, *take())
+                held = 0
         if parts:
-            pair, first = (np.concatenate(x) for x in zip(*parts))
-            yield _dealt(shards, of, *_triple_sums(pair, first, np.ones(len(pair), np.uint64)))
+            yield _dealt(shards, of, *take())
 
     where = lambda k: np.searchsorted(m.base[1:], k.astype(np.int64), "right")  # noqa: E731  the start is shard `shards`
 
@@ -421,11 +456,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             put_counts(uri, f"h{s}", n[often][order])
             if not prune:
                 put_once(s, *gather(first[once], np.append(0, np.cumsum(np.add.reduceat(once, edge, dtype=np.int64))), place))
-            v, w = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
-            one, zero = np.ones(len(pair), np.uint64), np.zeros(len(pair), np.uint64)
-            each = [zero, before, *((before == j).astype(np.uint64) for j in (1, 2)), (before > 2).astype(np.uint64)]
-            per = _sums(np.concatenate([w, v]), *(np.concatenate([a, b]) for a, b in zip([one, zero, zero, zero, zero], each)))
-            words_ = _dealt(shards, where, *per).to_pydict()
+            words_ = _dealt(shards, where, *_word_sums(pair, before)).to_pydict()
             # the first two words of the triples that are kept
             start = mix((first[often].astype(np.uint64) << np.uint64(32)) | (keys[often] >> np.uint64(32)))
             starts = _dealt(shards, top, *_sums(start, n[often], (n[often] == 2).astype(np.uint64), (n[often] > 2).astype(np.uint64))).to_pydict()
@@ -458,7 +489,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             yield pa.RecordBatch.from_pydict({"shard": [s]})
 
     runs = per_word.where("kind = 'start'").select("shard", "run").repartitionById(shards, F.col("shard"))
-    have = {r.shard for r in settle(spark, runs.mapInArrow(write_starts, "shard long"), "starts").collect()}  # one row a shard
+    have = {r.shard for r in runs.mapInArrow(write_starts, "shard long").collect()}  # one row a shard
     for s in set(range(shards)) - have:
         put_array(uri, f"x{s}", np.zeros(0, np.uint64))
         for name in "syz":
@@ -476,7 +507,7 @@ def train(docs: DataFrame, path: str | None = None, order: int = 3, id_col: str
             yield pa.RecordBatch.from_pydict({"shard": [s], "stats": [[int((dense[0] == j).sum()) for j in (1, 2, 3, 4)] + [int((dense[0] > 2).sum())]]})
 
     runs = per_word.where("kind = 'word'").select("shard", "run").repartitionById(shards + 1, F.col("shard"))
-    stats = settle(spark, runs.mapInArrow(write_totals, "shard long, stats array<long>"), "totals").collect()  # one row a shard
+    stats = runs.mapInArrow(write_totals, "shard long, stats array<long>").collect()  # one row a shard
     have = {r.shard for r in stats}
     for s in set(range(shards + 1)) - have:
         for name in "ktabd":

@@ -147,3 +147,48 @@ def test_counts_of_any_size(tmp_path):
         k.put_counts(f"file://{tmp_path}", "c0", y)
         at = np.arange(len(y))[::-1]
         assert (k._counts(k.Arrays(f"file://{tmp_path}")["c0"], at) == y[at].astype(np.int64)).all()
+
+
+def test_words_are_hashed_in_pieces(monkeypatch):
+    """Hashing holds a piece of the text at a time, in many rows or in one, and the pieces change no hash."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    row = " ".join(rng.choice(["one", "TWO", "drei", "\u00fcber", "x" * 90]) for _ in range(2000))
+    for texts in (pa.array([row] * 100), pa.array([" ".join([row] * 100)])):
+        k.tokens(texts)  # tables of powers
+        tracemalloc.start()
+        want, off = k.tokens(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10 * texts.nbytes
+        for size in (1, 100, 1 << 30):
+            monkeypatch.setattr(k, "PIECE", size)
+            some = texts.slice(0, 2) if len(texts) > 1 else pa.array([row])
+            got = k.tokens(some)[0]
+            assert (got[:-1] == want[: len(got) - 1]).all()
+        monkeypatch.undo()
+
+
+def test_narrow_counts_add_up():
+    """Counts come in runs as narrow as they were packed; their sums do not wrap."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, firsts = np.arange(5, dtype=np.uint64), np.full(5, 7, np.uint32)
+    runs = [[0, k._pack(keys, firsts, np.full(5, n, np.uint64))] for n in (200, 255, 65535, (1 << 32) - 1, 1)]
+    batch = pa.RecordBatch.from_pydict({"shard": [s for s, _ in runs], "run": pa.array([r for _, r in runs], pa.list_(pa.binary()))})
+    [(_, (got, first, n))] = k._merged(iter([batch]), k._triple_sums)
+    assert got.tolist() == keys.tolist() and first.tolist() == firsts.tolist() and set(n.tolist()) == {200 + 255 + 65535 + (1 << 32)}
+
+
+def test_training_settles_one_table(odd, monkeypatch):
+    """What comes back as a row a shard is collected: a table written for it has a file and processes of their own for each task."""
+    names = []
+    real = k.settle
+    monkeypatch.setattr(k, "settle", lambda spark, df, name: names.append(name) or real(spark, df, name))
+    k.train(odd, prune=False)
+    assert names == ["pairs"]
