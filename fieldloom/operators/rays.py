@@ -16,8 +16,10 @@ from fieldloom.shared import settle
 
 #: Primitives that may go to every task; more are met by bins. Distance beyond which nothing is hit.
 SMALL, FAR, EPS = 256, 1e6, 1e-9
-#: Bins an axis at most.
-BINS = 1024
+#: Bins an axis at most; pieces of rays that may go to every task.
+BINS, PIECES = 1024, 100_000
+#: Columns that say where a primitive is.
+PLACE = {"triangle": tuple(f"{p}{a}" for p in "abc" for a in "xyz"), "sphere": ("cx", "cy", "cz", "r"), "cylinder": (*(f"{p}{a}" for p in "ba" for a in "xyz"), "h", "r")}
 
 
 def camera_rays(spark: SparkSession, w: int, h: int, eye, look, dx, dy) -> DataFrame:
@@ -46,22 +48,36 @@ def _boxes(prims: DataFrame, kind: str) -> list[tuple[Column, Column]]:
     return [(F.least(F.col(f"b{a}"), e) - F.col("r"), F.greatest(F.col(f"b{a}"), e) + F.col("r")) for a, e in zip("xyz", end)]
 
 
+class Scene(dict):
+    """Primitives by kind as `once` gives them."""
+
+
+def once(scene: dict[str, DataFrame]) -> Scene:
+    """The scene with each place once, written down. Primitives in one place are hit at one distance, and of those the least idx counts, so
+    the others change no result; a primitive with a null or NaN in its place is never hit."""
+    if isinstance(scene, Scene):
+        return scene
+    return Scene({k: settle(p.sparkSession, p.dropna(subset=list(PLACE[k])).groupBy(*PLACE[k]).agg(F.min("idx").alias("idx")), "scene") for k, p in scene.items()})
+
+
 def candidates(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, small: int = SMALL) -> DataFrame:
     """Pairs of rays and primitives that may meet. At most `small` primitives (counted) go to every task; more are dealt to the cells of a
-    uniform grid that their boxes touch, rays to the cells they pass, and the two meet by an equi-join on cells."""
-    n = prims.count()
-    if n <= small:
-        return rays.join(F.broadcast(prims))
+    uniform grid that their boxes touch, rays to the cells they pass, and the two meet by an equi-join on cells: the rays' pieces go to every
+    task if they are at most PIECES (counted), else both sides are sorted. The primitives' cells are never sent whole: Spark takes them for as
+    few as the primitives."""
     boxes = _boxes(prims, kind)
-    ext = prims.agg(*(F.min(lo).alias(f"l{a}") for (lo, _), a in zip(boxes, "xyz")), *(F.max(hi).alias(f"h{a}") for (_, hi), a in zip(boxes, "xyz"))).first()
+    ext = prims.agg(F.count(F.lit(1)).alias("n"), *(F.min(lo).alias(f"l{a}") for (lo, _), a in zip(boxes, "xyz")), *(F.max(hi).alias(f"h{a}") for (_, hi), a in zip(boxes, "xyz")), *(F.avg(hi - lo).alias(f"w{a}") for (lo, hi), a in zip(boxes, "xyz"))).first()
+    if ext.n <= small:
+        return rays.join(F.broadcast(prims))
     low, size = [ext[f"l{a}"] for a in "xyz"], [max(ext[f"h{a}"] - ext[f"l{a}"], 1e-9) for a in "xyz"]
-    wide = [s for s in size if s > 1e-6 * max(size)]  # cells are as wide as high, about one a primitive; flat axes have one
-    edge = max((math.prod(wide) / n) ** (1 / len(wide)), max(size) / BINS)
-    nb = [max(1, round(s / edge)) for s in size]
+    wide = [s for s in size if s > 1e-6 * max(size)]  # about one cell a primitive, none narrower than their mean box; flat axes have one
+    edge = max((math.prod(wide) / ext.n) ** (1 / len(wide)), max(size) / BINS)
+    nb = [max(1, round(s / max(edge, ext[f"w{a}"]))) for s, a in zip(size, "xyz")]
     width = [s / k for s, k in zip(size, nb)]
-    steps = [max(1, math.ceil(s / edge)) for s in size]  # a ray is cut along its main axis into pieces no longer than a cell
+    piece = min((w for w, k in zip(width, nb) if k > 1), default=max(size))
+    steps = [max(1, math.ceil(s / piece)) for s in size]  # a ray is cut along its main axis into pieces no longer than a cell
     cell = lambda c, k: F.least(F.greatest(F.floor((c - low[k]) / width[k]), F.lit(-1)), F.lit(nb[k])).cast("int")
-    p = prims
+    p = prims.repartition(max(1, min(ext.n // 1000, prims.sparkSession.sparkContext.defaultParallelism * 4)), "idx")
     for k, (lo, hi) in enumerate(boxes):
         p = p.withColumn(f"_b{k}", F.explode(F.sequence(F.greatest(cell(lo, k), F.lit(0)), F.least(F.greatest(cell(hi, k), F.lit(0)), F.lit(nb[k] - 1)))))
     o, d = _ray()
@@ -79,8 +95,10 @@ def candidates(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, s
         slack = F.lit(width[k] * 1e-9)
         lo, hi = F.greatest(cell(F.least(a, b) - slack, k), F.lit(0)), F.least(cell(F.greatest(a, b) + slack, k), F.lit(nb[k] - 1))
         r = r.withColumn(f"_r{k}", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
+    r = settle(prims.sparkSession, r.drop("_m", "_k", "_t0", "_t1").dropDuplicates(["ray_id", "_r0", "_r1", "_r2"]), "pieces")
+    r, p = (F.broadcast(r), p) if r.count() <= PIECES else (r, p.hint("merge"))
     joined = r.join(p, (F.col("_r0") == F.col("_b0")) & (F.col("_r1") == F.col("_b1")) & (F.col("_r2") == F.col("_b2")))
-    return joined.drop("_m", "_k", "_t0", "_t1", *(f"_{x}{k}" for x in "rb" for k in range(3)))
+    return joined.drop(*(f"_{x}{k}" for x in "rb" for k in range(3)))
 
 
 def triangle_hits(df: DataFrame, far: Column) -> DataFrame:
@@ -137,7 +155,7 @@ def hits(rays: DataFrame, prims: DataFrame, kind: str, far: float = FAR, small:
 def nearest(rays: DataFrame, scene: dict[str, DataFrame], far: float = FAR, small: int = SMALL) -> DataFrame:
     """The nearest hit of each ray over all kinds; idx -1, dist, u, v 0 and kind null for a miss. Ties: kind, then idx."""
     rows = None
-    for kind, prims in scene.items():
+    for kind, prims in once(scene).items():
         h = hits(rays, prims, kind, far, small)
         rows = h if rows is None else rows.unionByName(h)
     best = rows.groupBy("ray_id").agg(F.min(F.struct("dist", "kind", "idx", "u", "v")).alias("m"))
@@ -171,8 +189,9 @@ def shadow(rays: DataFrame, points: DataFrame, scene: dict[str, DataFrame], ligh
     length = F.col("_len")
     points, d = let(points, "d", [F.when(length > 0, x / length) for x in to])
     rays2 = points.select("ray_id", *((F.col(f"p{a}") + x * 1e-4).alias(f"o{a}") for a, x in zip("xyz", d)), *(x.alias(f"d{a}") for a, x in zip("xyz", d)), (length - 1e-4).alias("reach"))
+    rays2 = settle(rays.sparkSession, rays2, "rays")
     dark = None
-    for kind, prims in scene.items():
+    for kind, prims in once(scene).items():
         h = _HITS[kind](candidates(rays2, prims, kind, FAR, small), F.col("reach")).select("ray_id")
         dark = h if dark is None else dark.union(h)
     lit = points.select("ray_id").join(dark.distinct(), "ray_id", "left_anti").withColumn("lit", F.lit(1))
@@ -204,9 +223,9 @@ def occlusion_rays(points: DataFrame, samples: int, seed: int | None = None) ->
 
 def ambient_occlusion(points: DataFrame, scene: dict[str, DataFrame], samples: int, reach: float, seed: int | None = None, small: int = SMALL) -> DataFrame:
     """pixel, open: share of samples that meet nothing within reach."""
-    r = occlusion_rays(points, samples, seed)
+    r = settle(points.sparkSession, occlusion_rays(points, samples, seed), "rays")
     hit = None
-    for kind, prims in scene.items():
+    for kind, prims in once(scene).items():
         h = hits(r, prims, kind, reach, small).select("ray_id")
         hit = h if hit is None else hit.union(h)
     j = r.select("ray_id", "pixel").join(hit.distinct().withColumn("_hit", F.lit(1.0)), "ray_id", "left")
@@ -269,23 +288,25 @@ def trace(rays: DataFrame, scene: DataFrame | dict[str, DataFrame], light, eye,
     """ray_id, shade summed over bounces with shadows, and depth (of the first hit; null where nothing is hit, and shade is 0 there).
 
     scene: triangles, or primitives by kind. samples > 0: times the open share. color: a factor of each hit from kind, idx, u, v
-    and its place px, py, pz, as a color map gives it. Hits of each bounce are written to the shared folder, as shadows, shade and
-    the next rays all start from them.
+    and its place px, py, pz, as a color map gives it. Rays, hits and shades of each bounce are written to the shared folder: shadows, shade and
+    the next rays all start from them, and no plan holds more than one step's arithmetic.
     """
     spark = rays.sparkSession
-    scene = scene if isinstance(scene, dict) else {"triangle": scene}
+    scene = once(scene if isinstance(scene, dict) else {"triangle": scene})
+    rays = settle(spark, rays, "rays")
     total, at, first = None, rays, None
     for depth in range(bounces + 1):
-        p = settle(spark, hit_normals(hit_points(at, nearest(at, scene, small=small)), scene), "hits")
+        p = settle(spark, hit_normals(settle(spark, hit_points(at, nearest(at, scene, small=small)), "nearest"), scene), "hits")
         first = p.select("ray_id", F.col("dist").alias("depth")) if first is None else first
-        p = p.join(shadow(at, p, scene, light, small), "ray_id")
+        p = settle(spark, p.join(shadow(at, p, scene, light, small), "ray_id"), "lit")
         s = shade(p, light, eye, depth=depth, materials=materials)
         if color is not None:
             s = s.join(p.select("ray_id", color.alias("c")), "ray_id").select("ray_id", (F.col("shade") * F.col("c")).alias("shade"))
         if samples:
             s = s.join(ambient_occlusion(p, scene, samples, reach, small=small).withColumnRenamed("pixel", "ray_id"), "ray_id").select("ray_id", (F.col("shade") * F.col("open")).alias("shade"))
+        s = settle(spark, s, "shade")
         total = s if total is None else total.unionByName(s)
-        at = reflect(p)
+        at = settle(spark, reflect(p), "rays") if depth < bounces else None
     sums = total.groupBy("ray_id").agg(F.sum("shade").alias("s"))
     out = rays.select("ray_id").join(sums, "ray_id", "left").join(first, "ray_id", "left")
     return out.select("ray_id", F.least(F.coalesce("s", F.lit(0.0)), F.lit(1.0)).alias("shade"), "depth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import colors, grid as g, matrix as mx
 from fieldloom.model import EDGES, FACES, FieldInfo, GridSpec, MeshDataset, Shape
 from fieldloom.operators import compute as cp, geometry as geo, primitives as pr, rays as ry, select as sel, topology as tp
+from fieldloom.shared import settle
 from fieldloom.streaming import steps as st
 
 
@@ -334,3 +335,31 @@ def test_case_tables_have_the_known_sizes():
         ends = [frozenset((f[k - 1], f[k])) for f in faces for k in range(len(f))]
         assert sorted(map(sorted, ends)) == sorted(sorted(e) for e in EDGES[s] for _ in range(2))
         assert len({n for f in faces for n in f}) - len(EDGES[s]) + len(faces) == 2
+
+
+def test_wide_primitives_have_few_cells_that_are_not_sent_whole(spark):
+    wide = spark.range(2000).selectExpr("id % 600 as idx", "0d as ax", "0d as ay", "id / 2000 as az", "10d as bx", "0d as by", "id / 2000 as bz", "0d as cx", "10d as cy", "id / 2000 as cz")
+    wide = settle(spark, wide, "wide")
+    rays = spark.createDataFrame([(0, -1.0, 1.0, 0.5, 1.0, 0.0, 0.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    pairs = ry.candidates(rays, wide, "triangle", small=0)
+    assert 0 < pairs.count() <= 2000  # each pair once a cell, and the cells are as wide as the primitives
+    lines = ry.candidates(rays, wide, "triangle", small=0)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    build = next(line for line in lines if "Join" in line and "_r0" in line)
+    assert "BuildLeft" in build, "the rays' pieces are sent, not the primitives' cells"
+    monkey = ry.PIECES
+    try:
+        ry.PIECES = 0  # neither side
+        assert "SortMergeJoin" in ry.candidates(rays, wide, "triangle", small=0)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        ry.PIECES = monkey
+
+
+def test_primitives_in_one_place_are_met_once(spark):
+    tri = spark.range(3000).selectExpr("3000 - id as idx", "0d as ax", "0d as ay", "double(id % 3) as az", "1d as bx", "0d as by", "double(id % 3) as bz", "0d as cx", "1d as cy", "double(id % 3) as cz")
+    tri = tri.union(spark.createDataFrame([(0, 0.0, 0.0, -9.0, 1.0, 0.0, -9.0, 0.0, 1.0, None)], tri.schema))
+    rays = spark.createDataFrame([(0, 0.1, 0.1, -5.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    for small in (ry.SMALL, 0):
+        (got,) = ry.nearest(rays, {"triangle": tri}, small=small).collect()
+        assert (got.idx, got.dist) == (3, 5.0)  # the least of a thousand at z = 0
+    scene = ry.once({"triangle": tri})
+    assert ids(scene["triangle"], "idx", "az") == [(1, 2.0), (2, 1.0), (3, 0.0)] and ry.once(scene) is scene
