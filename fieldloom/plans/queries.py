@@ -685,8 +685,9 @@ _PTS = f"WITH {RAYS}, {TRIS}, {tri_hits('rays')}, {NEAR}, pt AS (SELECT ray_id,
 
 
 def _points(t):
-    rays = _rays(t)
-    return rays, ry.hit_points(rays, ry.nearest(rays, {"triangle": t.tris()}))
+    """Rays, the scene, and where the rays meet it; that is written down, as second rays and what they are held against start from it."""
+    rays, scene = _rays(t), ry.once({"triangle": t.tris()})
+    return rays, scene, settle(t.spark, ry.hit_points(rays, ry.nearest(rays, scene)), "hits")
 
 
 def _second(source: str) -> str:
@@ -701,8 +702,8 @@ def _second(source: str) -> str:
 sr AS (SELECT ray_id, px + lx / len * 1e-4::DOUBLE AS ox, py + ly / len * 1e-4::DOUBLE AS oy, pz + lz / len * 1e-4::DOUBLE AS oz, lx / len AS dx, ly / len AS dy, lz / len AS dz, len - 1e-4::DOUBLE AS reach FROM l1), {_second('sr')}
 SELECT r.ray_id, CASE WHEN nh.ray_id IS NOT NULL AND r.ray_id NOT IN (SELECT ray_id FROM thb WHERE t < reach) THEN 1 ELSE 0 END AS lit FROM rays r LEFT JOIN nh USING (ray_id)""")
 def shadow_exists(t):
-    rays, points = _points(t)
-    return ry.shadow(rays, points, {"triangle": t.tris()}, (2.0, 12.0, -10.0))
+    rays, scene, points = _points(t)
+    return ry.shadow(rays, points, scene, (2.0, 12.0, -10.0))
 
 
 def _radical(base: int) -> str:
@@ -716,9 +717,9 @@ dd AS (SELECT *, sqrt(u) * cos(phi) AS p, sqrt(u) * sin(phi) AS q, sqrt(1.0 - u)
 sr AS (SELECT pixel * 8 + k - 1 AS ray_id, pixel, px + nx * 1e-4::DOUBLE AS ox, py + ny * 1e-4::DOUBLE AS oy, pz + nz * 1e-4::DOUBLE AS oz, p * tx + q * bx_ + w * nx AS dx, p * ty + q * by__ + w * ny AS dy, p * tz + q * bz_ + w * nz AS dz FROM dd), {_second('sr')}
 SELECT pixel, round(1.0 - sum(CASE WHEN ray_id IN (SELECT ray_id FROM thb WHERE t < 3.0) THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 6) AS open FROM sr GROUP BY 1""")
 def ao_avg(t):
-    _, points = _points(t)
-    points = points.join(ry.triangle_normals(t.tris()), "idx")
-    return ry.ambient_occlusion(points, {"triangle": t.tris()}, 8, 3.0).select("pixel", r6("open").alias("open"))
+    _, scene, points = _points(t)
+    points = points.join(ry.triangle_normals(scene["triangle"]), "idx")
+    return ry.ambient_occlusion(points, scene, 8, 3.0).select("pixel", r6("open").alias("open"))
 
 
 def _suffixed(sql: str, names: tuple[str, ...], k: str) -> str:
