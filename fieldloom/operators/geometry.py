@@ -179,6 +179,25 @@ def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[
 LAYOUT_NODES = 2_000_000
 
 
+def pushes(own: np.ndarray, xy: np.ndarray, k: float, rows: int = 64, cols: int = 256) -> np.ndarray:
+    """The sum of d k^2 / d.d over all places for each of own. Pairs are met in tiles that stay in a processor's cache, in buffers used again."""
+    out, (x, y) = np.zeros((len(own), 2)), np.ascontiguousarray(xy.T)
+    buffers = np.empty((4, rows, cols))
+    for j in range(0, len(own), rows):
+        mine = own[j : j + rows]
+        for c in range(0, len(x), cols):
+            dx, dy, w, z = buffers[:, : len(mine), : len(x[c : c + cols])]
+            np.subtract(mine[:, :1], x[c : c + cols], out=dx)
+            np.subtract(mine[:, 1:], y[c : c + cols], out=dy)
+            np.multiply(dx, dx, out=w)
+            np.multiply(dy, dy, out=z)
+            np.maximum(np.add(w, z, out=w), 1e-12, out=w)
+            np.divide(k * k, w, out=w)
+            out[j : j + rows, 0] += np.einsum("ij,ij->i", dx, w)
+            out[j : j + rows, 1] += np.einsum("ij,ij->i", dy, w)
+    return out
+
+
 def graph_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 100, start: float = 1.0, final: float = 0.005, area: float = 1.0, gravity: float = 0.3, seed: int = 1) -> DataFrame:
     """node_id, newx, newy by Fruchterman-Reingold with gravity; edges (a, b). Places start from a hash of the id and the seed.
 
@@ -204,11 +223,7 @@ def graph_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 100, start: f
             ids, xy = shared.value
             for pdf in batches:
                 at = np.searchsorted(ids, pdf.node_id.to_numpy())
-                move = np.empty((len(pdf), 2))
-                few = max(1, 4_000_000 // len(xy))  # rows that meet all places at once
-                for j in range(0, len(pdf), few):
-                    d = xy[at[j : j + few], None] - xy[None]
-                    move[j : j + few] = (d * (k * k / np.maximum((d**2).sum(2), 1e-12))[:, :, None]).sum(1)
+                move = pushes(xy[at], xy, k)
                 lens = np.array([0 if to is None else len(to) for to in pdf.to])
                 if lens.sum():
                     of = np.repeat(np.arange(len(pdf)), lens)

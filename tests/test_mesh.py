@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -363,3 +364,26 @@ def test_primitives_in_one_place_are_met_once(spark):
         assert (got.idx, got.dist) == (3, 5.0)  # the least of a thousand at z = 0
     scene = ry.once({"triangle": tri})
     assert ids(scene["triangle"], "idx", "az") == [(1, 2.0), (2, 1.0), (3, 0.0)] and ry.once(scene) is scene
+
+
+@pytest.mark.parametrize("n", [1, 63, 300, 1000])
+def test_pushes_of_tiles_are_the_sum_over_all_pairs(n):
+    xy = np.random.default_rng(n).random((n, 2))
+    xy[: n // 3] = xy[0]  # equal places do not push
+    own = xy[::2]
+    d = own[:, None] - xy[None]
+    want = (d * (0.01 / np.maximum((d**2).sum(2), 1e-12))[:, :, None]).sum(1)
+    assert np.allclose(geo.pushes(own, xy, 0.1), want, rtol=1e-9, atol=1e-9)
+    if n == 1000:  # several times as fast as whole rows of pairs, whose temporaries leave the cache
+        def seconds(f):
+            start = time.perf_counter()
+            f()
+            return time.perf_counter() - start
+
+        big = np.random.default_rng(0).random((40_000, 2))
+
+        def whole():
+            d = big[:400, None] - big[None]
+            return (d * (0.01 / np.maximum((d**2).sum(2), 1e-12))[:, :, None]).sum(1)
+
+        assert 2 * min(seconds(lambda: geo.pushes(big[:400], big, 0.1)) for _ in range(3)) < min(seconds(whole) for _ in range(2))
