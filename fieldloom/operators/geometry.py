@@ -146,6 +146,16 @@ def legendre_values(points: DataFrame, cells: DataFrame, fields: tuple[str, ...]
     return flat.join(sides, "cell_id").select("cell_id", F.explode(all_).alias("v")).select("cell_id", "v.*")
 
 
+#: Points (and their cells, of about the same number) that one task of a tessellation takes.
+TASK_POINTS = 200_000
+
+
+def _spread(df: DataFrame, n_points: int, key: str) -> DataFrame:
+    """df dealt by the key to as many tasks as n_points need, so that a task's memory does not grow with the input; not fewer than the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n_points // TASK_POINTS)), key)
+
+
 def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[str, ...] = ("x", "y", "z"), legendre: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(points, quads): each two-dimensional cell is cut into a quad per edge by its centroid and its own edge midpoints.
 
@@ -158,20 +168,23 @@ def tessellate(points: DataFrame, cells: DataFrame, n_points: int, nodal: tuple[
     flat = cells.where("shape in (2, 3, 4, 11)").select("cell_id", ring.alias("ring"), n.cast("long").alias("n"), (n + 1).cast("long").alias("new"))
     flat = scan(flat, "cell_id", "new", inclusive=False, out="first").withColumn("first", F.col("first") + n_points)
     rows = flat.select("cell_id", "n", "first", F.posexplode("ring").alias("k", "node_id"))
-    at = rows.join(points.select("node_id", F.struct(*nodal).alias("v")), "node_id")
+    own = _spread(points.select("node_id", *nodal), n_points, "node_id")
+    at = _spread(rows, n_points, "node_id").join(own.select("node_id", F.struct(*nodal).alias("v")), "node_id")
     # each corner counts for the centroid and for the midpoints of the edges before and after it
     to = F.array(F.col("first"), F.col("first") + 1 + F.col("k"), F.col("first") + 1 + (F.col("k") + F.col("n") - 1) % F.col("n"))
-    new = at.select(F.explode(to).alias("node_id"), "v").groupBy("node_id").agg(*(F.avg(F.col("v")[c]).alias(c) for c in nodal))
+    # a new node is of one cell: corners are dealt by cells before they are copied
+    new = _spread(at, n_points, "cell_id").select("cell_id", F.explode(to).alias("node_id"), "v").groupBy("cell_id", "node_id").agg(*(F.avg(F.col("v")[c]).alias(c) for c in nodal)).drop("cell_id")
     quads = rows.join(flat.select("cell_id", "ring"), "cell_id").select(
         "cell_id", F.col("k").alias("sub"), F.lit(int(Shape.QUAD)).alias("shape"),
         F.array(F.col("first"), F.col("first") + 1 + F.col("k"), F.col("ring")[((F.col("k") + 1) % F.col("n")).cast("int")], F.col("first") + 1 + (F.col("k") + 1) % F.col("n")).alias("nodes"),
     )
     out = points.select("node_id", *nodal).unionByName(new)
     if legendre:
-        values = legendre_values(points, cells, legendre).join(flat.select("cell_id", "ring", "first"), "cell_id")
+        values = _spread(legendre_values(_spread(points, n_points, "node_id"), cells, legendre), n_points, "cell_id").join(_spread(flat.select("cell_id", "ring", "first"), n_points, "cell_id"), "cell_id")
         node = F.when(F.col("at") < 5, F.col("first") + F.col("at")).otherwise(F.get("ring", F.col("at") - 5))
-        last = values.groupBy(node.alias("node_id")).agg(F.max_by(F.struct(*legendre), "cell_id").alias("v")).select("node_id", "v.*")
-        out = out.join(last, "node_id", "left")
+        values = _spread(values.select(node.alias("node_id"), "cell_id", *legendre), n_points, "node_id")
+        last = values.groupBy("node_id").agg(F.max_by(F.struct(*legendre), "cell_id").alias("v")).select("node_id", "v.*")
+        out = _spread(out, n_points, "node_id").join(last, "node_id", "left")
     return out, quads
 
 

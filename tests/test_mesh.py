@@ -387,3 +387,14 @@ def test_pushes_of_tiles_are_the_sum_over_all_pairs(n):
             return (d * (0.01 / np.maximum((d**2).sum(2), 1e-12))[:, :, None]).sum(1)
 
         assert 2 * min(seconds(lambda: geo.pushes(big[:400], big, 0.1)) for _ in range(3)) < min(seconds(whole) for _ in range(2))
+
+
+def test_tessellation_has_more_tasks_for_more_points(spark, monkeypatch):
+    monkeypatch.setattr(geo, "TASK_POINTS", 1)
+    grid = GridSpec((4, 4))
+    p = g.nodes(spark, grid).select("node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    cells = g.cells(spark, grid).withColumn("h", F.array(*[F.lit(1.0)] * 9))
+    for fields in ((), ("h",)):
+        points, _ = geo.tessellate(p, cells, 16, ("x", "y"), fields)
+        assert points._jdf.queryExecution().sparkPlan().toString().count(", 16)") >= 3  # tasks for 16 points, not the session's 4
+        assert points.count() == 16 + 9 * 5
